@@ -133,7 +133,8 @@ def arithmetic_ops(files: DataFrame, gate_version: bool = True) -> DataFrame:
         structure.explode_lines(files.select("project", "path", "content"))
         .where(sol.has_unchecked_arithmetic(line))
         .select("project", "path", "line", sol.mentions_integer(line).alias("on_uint"),
-                F.posexplode(sol.arithmetic(line)).alias("nth", "op"))
+                F.posexplode_outer(sol.arithmetic(line)).alias("nth", "op"))
+        .where(F.col("op").isNotNull())
         .select(
             "project", "path", "nth", F.col("op.operator").alias("operator"),
             py_strip(F.concat_ws(" ", "op.left", "op.operator", "op.right")).alias("operands"),
@@ -162,7 +163,7 @@ def state_writes(files: DataFrame, mode: str = "compat") -> DataFrame:
     lines = F.split("content", "\n")
     return (
         files.select("project", "path", F.size(lines).alias("n_lines"),
-                     F.posexplode(lines).alias("pos", "text"))
+                     F.posexplode_outer(lines).alias("pos", "text"))
         .where(sol.is_state_write(F.col("text"), mode))
         .select("project", "path", "n_lines", (F.col("pos") + 1).alias("line"),
                 _short(F.col("text"), fv.ORACLE_TEXT).alias("state_write_text"))

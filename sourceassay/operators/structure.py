@@ -43,10 +43,14 @@ _BRACKETED = _bracketed(6)
 
 
 def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row per physical line, numbered from 1; trailing empty lines are kept."""
+    """One row per physical line, numbered from 1; trailing empty lines are kept.
+
+    The outer form spares the optimizer's ``size(split(...)) > 0`` filter, which
+    would split every text a second time.
+    """
     keep = [c for c in files.columns if c not in (content, "raw")]
     return files.select(
-        *keep, F.posexplode(F.split(content, "\n")).alias("pos", "text")
+        *keep, F.posexplode_outer(F.split(content, "\n")).alias("pos", "text")
     ).select(*keep, (F.col("pos") + 1).alias("line"), "text")
 
 
@@ -105,7 +109,7 @@ def _numbered(code: Column, cut: bool) -> Column:
 
 
 def pieces(content: Column, language: Column) -> Column:
-    """Raw statements (with line marks) in source order."""
+    """Raw statements (with line marks) in source order, empty ones left out."""
     code = code_text(content, language)
     lines = F.array_join(_numbered(_hold_inner(code, language), cut=True), "\n")
     # JavaScript may end a statement with its line.
@@ -121,12 +125,13 @@ def pieces(content: Column, language: Column) -> Column:
         ),
         "",
     )
-    return F.split(
+    cut = F.split(
         F.when(language == "py", F.translate(python, "\n", _CUT))
         .when(language.isin(*_SCRIPT), script)
         .otherwise(strict),
         _CUT,
     )
+    return F.filter(cut, lambda p: p.rlike(rf"{_OFF}\s*[^\s{_ON}]"))
 
 
 def piece_text(piece: Column) -> Column:
@@ -167,9 +172,7 @@ def _block_events(parts: Column, language: Column) -> Column:
 
     wanted = F.filter(
         F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
-        lambda s: F.when(python, piece_text(s.p) != "").otherwise(
-            F.right(s.p, F.lit(1)).isin("{", "}")
-        ),
+        lambda s: python | F.right(s.p, F.lit(1)).isin("{", "}"),
     )
     return F.transform(wanted, lambda s: event(s.p, s.i))
 
@@ -223,7 +226,7 @@ def blocks(parts: Column, language: Column) -> Column:
             e.last_line.alias("line"),
         )
 
-    last = F.element_at(parts, -1)
+    last = F.get(parts, F.size(parts) - 1)
     return F.aggregate(
         _block_events(parts, language),
         start,
@@ -239,28 +242,32 @@ def blocks(parts: Column, language: Column) -> Column:
     )
 
 
-def with_blocks(files: DataFrame) -> DataFrame:
+def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
     """Files with their statements (``parts``) and ``blocks``, still one row per file."""
     content, language = F.col("content"), F.col("language")
     return (
-        files.select("project", "path", "language", pieces(content, language).alias("parts"))
+        files.select("project", "path", "language", *keep, pieces(content, language).alias("parts"))
         .withColumn("blocks", blocks(F.col("parts"), language))
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """One row per statement; ``blocks`` of its file comes along for later look-ups."""
+def exploded_parts(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per raw statement (``part``) with its ``text``."""
     return (
-        with_blocks(files)
-        .select("project", "path", "language", "blocks", F.posexplode("parts").alias("seq", "part"))
+        rows.select(*keep, F.posexplode_outer("parts").alias("seq", "part"))
+        .where(F.col("part").isNotNull())
         .withColumn("text", piece_text(F.col("part")))
-        .where(F.col("text") != "")
-        .withColumn("line", piece_line(F.col("part")))
-        .select("project", "path", "language", "seq", "line",
-                piece_last_line(F.col("part")).alias("last_line"), "text", "blocks")
     )
 
 
+def statements(files: DataFrame) -> DataFrame:
+    """One row per statement; ``blocks`` of its file comes along for later look-ups."""
+    keep = ("project", "path", "language", "blocks")
+    return exploded_parts(with_blocks(files), *keep).select(
+        "project", "path", "language", "seq", piece_line(F.col("part")).alias("line"),
+        piece_last_line(F.col("part")).alias("last_line"), "text", "blocks")
+
+
 def is_function(header: Column, language: Column) -> Column:
     """Does this block header define a function?"""
     control = r"^\}?\s*(if|for|while|switch|catch|else|do|try|return|unchecked|assembly)\b"
@@ -327,24 +334,30 @@ StatementFact = Callable[[Statement], tuple[Column, dict[str, Column]]]
 
 
 def statement_facts(files: DataFrame, fact: StatementFact) -> DataFrame:
-    """Rows of one fact over the statement table (``seq`` gives the order)."""
-    rows = statements(files)
+    """Rows of one fact over the statement table (``seq`` gives the order).
+
+    Condition and columns sit in a generator: a plain filter would be pushed
+    below the projection and compute the statement's text again per pattern.
+    """
     condition, columns = fact(Statement(*[F.col(c) for c in Statement._fields]))
-    return rows.where(condition).select(
-        "project", "path", "seq", *[c.alias(n) for n, c in columns.items()]
+    row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return (
+        statements(files)
+        .select("project", "path", "seq", F.explode_outer(F.when(condition, row)).alias("row"))
+        .where(F.col("row").isNotNull())
+        .select("project", "path", "seq", "row.*")
     )
 
 
 def nested_statements(parts: Column) -> Column:
     """Statements of a file as an array, in source order."""
-    every = F.transform(
+    return F.transform(
         parts,
         lambda p, i: F.struct(
             piece_text(p).alias("text"), piece_line(p).alias("line"),
             piece_last_line(p).alias("last_line"), i.alias("seq"),
         ),
     )
-    return F.filter(every, lambda s: s.text != "")
 
 
 def nested_statement_facts(rows: Column, blocks_col: Column, fact: StatementFact) -> Column:

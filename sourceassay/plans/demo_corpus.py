@@ -92,7 +92,8 @@ JS_SCENARIOS = (
     (None, ('order.status = "completed";',)),
     (None, ('if (payment.status === "success") {', '    order.status = "completed";', "}")),
     (None, ('if (payment.status === "successful") {', '    order.status = "completed";', "}")),
-    (None, ("authorize(req);", "acct.balance -= amount;")),
+    (None, ("authorize(req);", "if (acct.owner !== req.user) { return; }",
+            "acct.balance -= amount;")),
     (None, ("transfer(acct, amount);", "authorize(req);")),
     ("function plain(req, acct) {", ("acct.balance = 0;", 'subscription.status = "active";')),
     (None, ("const r = await pay(x);", "if (r.ok) { acct.balance -= amount; }")),

@@ -45,6 +45,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .appName("sourceassay")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
