@@ -160,3 +160,42 @@ RULE_RESULT = (
     """"severity": "ERROR", "metadata": {"vulnerability_class": "' || vulnerability_class || '"}}}, """
     """{"check_id": "bare' || idx % 5 || '", "path": "elsewhere.js"}]}' AS body"""
 )
+
+#: an index as a foreign client might send it, with broken rows
+INDEX_COLUMNS = (
+    "'m' || m AS project",
+    "CASE WHEN k % 19 = 0 THEN '/abs/x.js' WHEN k % 23 = 0 THEN 'C:' || chr(92) || 'x.js' WHEN k % 29 = 0 THEN '' "
+    "WHEN k % 31 = 0 THEN '~/x.js' WHEN k % 37 = 0 THEN NULL ELSE 'src/F' || k || '.js' END AS path_relative",
+    "CASE WHEN k % 13 = 0 THEN 'rb' WHEN k % 41 = 0 THEN NULL ELSE 'js' END AS language",
+    "CASE WHEN k % 17 = 0 THEN '' ELSE 'h' || k END AS hash",
+    "CASE WHEN k % 43 = 0 THEN NULL ELSE 'text ' || k END AS stripped_content",
+    "CASE WHEN k % 47 = 0 THEN NULL ELSE k - 3 END AS original_size",
+    "CASE WHEN k % 53 = 0 THEN -1 ELSE k END AS stripped_size",
+)
+PROJECT_COLUMNS = (
+    "project", "CASE WHEN m % 7 = 6 THEN upper(HASH) ELSE HASH END AS project_identifier",
+    "m % 5 = 0 AS truncated",
+)
+
+
+def foreign_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).selectExpr(*INDEX_COLUMNS)
+
+
+def foreign_index_sql() -> str:
+    return (f"SELECT {', '.join(INDEX_COLUMNS)} "
+            f"FROM (SELECT {', '.join(KEYED)} FROM (SELECT {', '.join(BASE)} FROM orders))")
+
+
+def foreign_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [c.replace("HASH", "sha2(project, 256)") for c in PROJECT_COLUMNS]
+    return manifests(spark, sf_dir).selectExpr(*columns)
+
+
+def foreign_projects_sql() -> str:
+    columns = [c.replace("HASH", "sha256(project)") for c in PROJECT_COLUMNS]
+    return f"SELECT {', '.join(columns)} FROM manifests"
+
+
+#: what else an audit of a manifest's project ran into
+FAILURES = {"parse": "m % 12 = 11", "index": "m % 13 = 5"}
