@@ -8,8 +8,11 @@ of its matching.
 
 from __future__ import annotations
 
+import re
+
 from sourceassay import fixed_values as fv
 from sourceassay.operators.rules import CATALOGUE
+from sourceassay.operators.signatures import NODE_PATTERNS
 from sourceassay.plans import demo_corpus, demo_findings
 
 SQL: dict[str, str] = {}
@@ -165,8 +168,6 @@ CTES = {
 
 
 def _needs(sql: str, names: list[str]) -> list[str]:
-    import re
-
     found = []
     for n in names:
         if re.search(rf"\b{n}\b", sql):
@@ -291,8 +292,8 @@ add("str_7_is_08_plus", "SELECT project, path, is_solidity_08_plus FROM sol08")
 CTES["norm"] = (f"SELECT project, path, language, octet_length(raw) AS original_size, {_NORMAL} AS stripped FROM kept")
 add("prj_9_hash_and_sizes", "SELECT project, path AS path_relative, sha256(stripped) AS hash, original_size, "
     "strlen(stripped) AS stripped_size FROM norm")
-add("audit_index_by_language", "SELECT project, language, count(*) AS files, sum(original_size) AS original_bytes, "
-    "sum(strlen(stripped)) AS stripped_bytes, sum(original_size - strlen(stripped)) AS saved_bytes "
+add("audit_index_by_language", "SELECT project, language, count(*) AS files, CAST(sum(original_size) AS BIGINT) AS original_bytes, "
+    "CAST(sum(strlen(stripped)) AS BIGINT) AS stripped_bytes, CAST(sum(original_size - strlen(stripped)) AS BIGINT) AS saved_bytes "
     "FROM norm GROUP BY project, language")
 
 # --- facts ------------------------------------------------------------------------------------
@@ -460,7 +461,7 @@ CTES["ignored"] = ("SELECT project, count(DISTINCT pruned) AS ignored_dirs, coun
 add("agg_2_total_ignored", "SELECT *, ignored_dirs + ignored_files AS total_ignored FROM ignored")
 add("agg_1_scan_summary", f"""
     SELECT i.project, coalesce(c.total_files, 0) AS total_files, ignored_dirs + ignored_files AS total_ignored,
-      coalesce(c.total_errors, 0) AS total_errors, coalesce(c.total_size_bytes, 0) AS total_size_bytes,
+      coalesce(c.total_errors, 0) AS total_errors, CAST(coalesce(c.total_size_bytes, 0) AS BIGINT) AS total_size_bytes,
       coalesce(c.truncated, false) AS truncated
     FROM ignored i LEFT JOIN (SELECT project, count(*) FILTER (WHERE content IS NOT NULL AND rn <= {fv.GENERAL_MAX_FILES}) AS total_files,
       count(*) FILTER (WHERE content IS NULL AND rn <= {fv.GENERAL_MAX_FILES}) AS total_errors,
@@ -509,6 +510,11 @@ add("win_2_finding_numbers", "SELECT project, file_path, line_start, vulnerabili
     "(PARTITION BY project ORDER BY file_path, line_start, vulnerability_class, idx) AS seq FROM findings")
 add("win_3_duplicate_ids", "SELECT *, 'id is used before' AS message FROM dups")
 add("win_4_first_per_line", "SELECT project, path, line, call_type FROM calls")
+add("win_5_block_spans", r"""
+    SELECT project, path, line AS line_start, (SELECT max(e.line) FROM sm e WHERE e.project = s.project AND e.path = s.path AND e.raw_text = '}') AS line_end,
+      text AS header FROM sm s WHERE text LIKE 'contract %'
+    UNION ALL SELECT project, path, line_start, CAST(line_end AS INT), regexp_extract(text, '^[^{]*\{') FROM fns
+    UNION ALL SELECT project, path, line, line, regexp_extract(text, '^[^{]*\{') FROM sm WHERE regexp_matches(text, '^if .*\{.*\}$')""")
 add("win_6_last_patch", "SELECT * FROM lastpatch")
 add("srt_1_sorted_index", "SELECT project, path FROM gen ORDER BY project, path")
 add("lim_1_text_limits", "SELECT project, idx, " + ", ".join(
@@ -704,8 +710,6 @@ add("val_b14_valid_manifest", "SELECT project, idx, id, coalesce(confidence, 0.5
 
 # --- signatures ------------------------------------------------------------------------------------------------
 
-from sourceassay.operators.signatures import NODE_PATTERNS  # noqa: E402
-
 _RANK = {k: i for i, k in enumerate(NODE_PATTERNS, 1)}
 
 
@@ -789,7 +793,7 @@ CTES["web3"] = " UNION ALL ".join(
     f"SELECT project, path, '{_cls}' AS vulnerability_class, a AS line_start, b AS line_end FROM ({_sql})" for _cls, _sql in _W.values())
 _WSEV = f"coalesce({_map(fv.WEB3_SEVERITIES)}[vulnerability_class], 'MEDIUM')"
 add("prj_5_web3_findings", f"""SELECT project, path AS file_path, line_start, line_end, vulnerability_class, {_WSEV} AS severity, '' AS code_snippet,
-    '' AS description, '' AS fix_principle, 0.7 AS confidence, 'MEDIUM' AS false_positive_risk, 'web3' AS track FROM web3""")
+    '' AS description, '' AS fix_principle, CAST(0.7 AS DOUBLE) AS confidence, 'MEDIUM' AS false_positive_risk, 'web3' AS track FROM web3""")
 add("set_2_merge_findings", f"""
     SELECT code_project AS project, file_path, line_start, vulnerability_class, severity, NULL AS track FROM findings
     UNION ALL SELECT project, path, line_start, vulnerability_class, {_WSEV}, 'web3' FROM web3""")
