@@ -79,7 +79,7 @@ def call_statement(s: structure.Statement) -> tuple[Column, dict[str, Column]]:
 
 def statement_calls(files: DataFrame) -> DataFrame:
     """Calls with callee and value, read from whole statements."""
-    return structure.statement_facts(files, call_statement)
+    return structure.statement_facts(files, call_statement, "call|transfer|send")
 
 
 def external_calls(files: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def auth_statement(s: structure.Statement) -> tuple[Column, dict[str, Column]]:
 
 def auth_requirements(files: DataFrame) -> DataFrame:
     """``require`` / ``assert`` statements that look like an authorisation check."""
-    return structure.statement_facts(files, auth_statement).drop("seq")
+    return structure.statement_facts(files, auth_statement, "require|assert").drop("seq")
 
 
 def access_controls(files: DataFrame) -> DataFrame:

@@ -216,6 +216,16 @@ CATALOGUE: tuple[Rule, ...] = (
 )
 
 
+#: Every step and guard of a language's rules fits its trigger somewhere, so a
+#: statement without one is dropped before any rule looks at it.
+TRIGGERS = {
+    SCRIPT: r"balance|-=|await|req\.body|\.status|require|\bif\b",
+    SOLIDITY: r"call|balances|tx\.origin|\+|uint|transfer|require",
+    PYTHON: r"send_order|await|self\.|\bif\b|=\s*\w+\.\w",
+    MQL: r"OrderSend",
+}
+
+
 def rules(spark: SparkSession, catalogue: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
     """The catalogue as a table."""
     rows = [
@@ -326,9 +336,13 @@ def tagged_statements(files: DataFrame, catalogue: tuple[Rule, ...] = CATALOGUE)
     text = F.col("text")
     keep = ("project", "path", "language", "worded", "blocks", *marks)
     events = _statement_events(catalogue, text)
-    # The generator comes before any filter, so the patterns run once.
+    triggered = F.lit(False)
+    for languages, trigger in TRIGGERS.items():
+        triggered = triggered | (F.col("language").isin(*languages) & F.col("part").rlike(trigger))
+    # The generator comes before any filter on the events, so the patterns run once.
     tagged = (
-        structure.exploded_parts(structure.with_blocks(possible, "worded", *marks), *keep)
+        structure.exploded_parts(
+            structure.with_blocks(possible, "worded", *marks), *keep, wanted=triggered)
         .select("project", "path", "language", "blocks", *marks, "seq", "part", "text",
                 F.explode_outer(events).alias("e"))
         .where(F.col("e").isNotNull())

@@ -36,7 +36,9 @@ NODE_PATTERNS = {
 #: words one of which a file must hold to have a mutation, a transfer or a lifecycle change
 _WORDS = (".balance", ".credits", ".funds", ".status", ".state", "transfer", "withdraw", "payout",
           "req.body.")
-_NODE = "array<struct<kind:string,target:string,op:string>>"
+#: every node pattern needs one of these in its statement
+_TRIGGER = (r"\bif\b|require|assert|auth|checkAuth|req\.body|await|transfer|withdraw|payout|balance|credits|funds"
+            r"|status|state")
 
 
 def _nodes_of(text: Column) -> Column:
@@ -60,7 +62,9 @@ def fn_nodes(files: DataFrame) -> DataFrame:
         worded = worded | F.contains(content, F.lit(w))
     possible = files.where(F.col("language").isin(*rules.SCRIPT) & worded)
     tagged = (
-        structure.exploded_parts(structure.with_blocks(possible), "project", "path", "language", "blocks")
+        structure.exploded_parts(
+            structure.with_blocks(possible), "project", "path", "language", "blocks",
+            wanted=F.col("part").rlike(_TRIGGER))
         .select("project", "path", "language", "blocks", "seq", "text", "part",
                 F.explode_outer(_nodes_of(F.col("text"))).alias("node"))
         .where(F.col("node").isNotNull())

@@ -68,7 +68,9 @@ def code_text(content: Column, language: Column) -> Column:
     def held(t: Column) -> Column:
         return F.translate(t, _DELIMITERS, _HELD)
 
-    clean = F.translate(content, _ON + _OFF + _CUT + _HELD, " " * 10)
+    marks = _ON + _OFF + _CUT + _HELD
+    clean = F.when(content.rlike(f"[{marks}]"), F.translate(content, marks, " " * len(marks))
+                   ).otherwise(content)
     c_like = F.transform(
         tx.tokens(clean, tx.C_TOKENS),
         lambda t: F.when(starts(t, "//", "/*"), blank(t))
@@ -108,6 +110,10 @@ def _numbered(code: Column, cut: bool) -> Column:
     return F.transform(F.split(code, "\n"), mark)
 
 
+def _swap(text: Column, old: str, new: str) -> Column:
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
 def pieces(content: Column, language: Column) -> Column:
     """Raw statements (with line marks) in source order, empty ones left out."""
     code = code_text(content, language)
@@ -115,18 +121,18 @@ def pieces(content: Column, language: Column) -> Column:
     # JavaScript may end a statement with its line.
     joined = F.regexp_replace(lines, r"([=,+*/&|?:<>.(\[-]\s*)\n", "$1 ")
     joined = F.regexp_replace(joined, rf"\n({_ON}\d+{_OFF}\s*[.?:&|+*/=,)\]<>-])", " $1")
-    script = F.translate(joined, "\n", _CUT)
-    strict = F.translate(lines, "\n", " ")
+    script = _swap(joined, "\n", _CUT)
+    strict = _swap(lines, "\n", " ")
     # Python goes on to the next line inside brackets.
     python = F.array_join(
         F.transform(
             tx.tokens(F.array_join(_numbered(code, cut=False), "\n"), _BRACKETED),
-            lambda t: F.when(t.rlike(r"^[(\[{]"), F.translate(t, "\n", " ")).otherwise(t),
+            lambda t: F.when(t.rlike(r"^[(\[{]"), _swap(t, "\n", " ")).otherwise(t),
         ),
         "",
     )
     cut = F.split(
-        F.when(language == "py", F.translate(python, "\n", _CUT))
+        F.when(language == "py", _swap(python, "\n", _CUT))
         .when(language.isin(*_SCRIPT), script)
         .otherwise(strict),
         _CUT,
@@ -136,7 +142,8 @@ def pieces(content: Column, language: Column) -> Column:
 
 def piece_text(piece: Column) -> Column:
     bare = F.regexp_replace(piece, _MARK, "")
-    return F.btrim(F.translate(bare, _HELD, _DELIMITERS), F.lit(" \t\r\n"))
+    whole = F.when(bare.rlike(f"[{_HELD}]"), F.translate(bare, _HELD, _DELIMITERS)).otherwise(bare)
+    return F.btrim(whole, F.lit(" \t\r\n"))
 
 
 def piece_line(piece: Column) -> Column:
@@ -148,8 +155,8 @@ def piece_last_line(piece: Column) -> Column:
     return F.regexp_extract(piece, rf"(?s).*{_MARK}", 1).cast("int")
 
 
-_BLOCK = "struct<open_seq:int,close_seq:int,line_start:int,line_end:int,header:string>"
-_OPEN = "struct<seq:int,indent:int,line:int,header:string>"
+_BLOCK = "struct<open_seq:int,close_seq:int,line_start:int,line_end:int,header:string,is_function:boolean>"
+_OPEN = "struct<seq:int,indent:int,line:int,header:string,is_function:boolean>"
 
 
 def _block_events(parts: Column, language: Column) -> Column:
@@ -166,6 +173,7 @@ def _block_events(parts: Column, language: Column) -> Column:
             .otherwise(0).alias("indent"),
             opens.alias("opens"),
             F.when(opens, piece_text(p)).alias("header"),
+            F.when(opens, is_function(piece_text(p), language)).alias("is_function"),
             piece_line(p).alias("line"),
             piece_last_line(p).alias("last_line"),
         )
@@ -197,6 +205,7 @@ def blocks(parts: Column, language: Column) -> Column:
             lambda o: F.struct(
                 o.seq.alias("open_seq"), seq.alias("close_seq"), o.line.alias("line_start"),
                 line.alias("line_end"), o.header.alias("header"),
+                o.is_function.alias("is_function"),
             ),
         )
 
@@ -216,7 +225,7 @@ def blocks(parts: Column, language: Column) -> Column:
         )
         opened = F.array(
             F.struct(e.seq.alias("seq"), e.indent.alias("indent"), e.line.alias("line"),
-                     e.header.alias("header"))
+                     e.header.alias("header"), e.is_function.alias("is_function"))
         )
         return F.struct(
             F.when(e.opens, F.concat(F.slice(stack, F.lit(1), keep), opened))
@@ -251,19 +260,23 @@ def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def exploded_parts(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per raw statement (``part``) with its ``text``."""
+def exploded_parts(rows: DataFrame, *keep: str, wanted: Column | None = None) -> DataFrame:
+    """One row per raw statement (``part``) with its ``text``.
+
+    ``wanted`` is a cheap test over ``part``; the others are dropped before their
+    text is put together.
+    """
     return (
         rows.select(*keep, F.posexplode_outer("parts").alias("seq", "part"))
-        .where(F.col("part").isNotNull())
+        .where(F.col("part").isNotNull() if wanted is None else wanted)
         .withColumn("text", piece_text(F.col("part")))
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
+def statements(files: DataFrame, wanted: Column | None = None) -> DataFrame:
     """One row per statement; ``blocks`` of its file comes along for later look-ups."""
     keep = ("project", "path", "language", "blocks")
-    return exploded_parts(with_blocks(files), *keep).select(
+    return exploded_parts(with_blocks(files), *keep, wanted=wanted).select(
         "project", "path", "language", "seq", piece_line(F.col("part")).alias("line"),
         piece_last_line(F.col("part")).alias("last_line"), "text", "blocks")
 
@@ -296,11 +309,10 @@ def with_scope(rows: DataFrame) -> DataFrame:
     Meant for the few statements a filter has kept: it looks through the
     blocks of the file once per row.
     """
-    language = F.col("language")
     return (
         rows.withColumn("inside", enclosing(F.col("blocks"), F.col("seq")))
         .drop("blocks")
-        .withColumn("fn", F.array_max(F.filter("inside", lambda b: is_function(b.header, language))))
+        .withColumn("fn", F.array_max(F.filter("inside", lambda b: b.is_function)))
         .withColumn(
             "block_end",
             F.coalesce(F.array_max("inside").getField("close_seq"), F.lit(2147483647)),
@@ -333,16 +345,22 @@ class Statement(NamedTuple):
 StatementFact = Callable[[Statement], tuple[Column, dict[str, Column]]]
 
 
-def statement_facts(files: DataFrame, fact: StatementFact) -> DataFrame:
+def statement_facts(files: DataFrame, fact: StatementFact, words: str | None = None) -> DataFrame:
     """Rows of one fact over the statement table (``seq`` gives the order).
 
+    ``words`` is a pattern every such statement fits somewhere: files without it
+    are not parsed at all.
+
     Condition and columns sit in a generator: a plain filter would be pushed
     below the projection and compute the statement's text again per pattern.
     """
     condition, columns = fact(Statement(*[F.col(c) for c in Statement._fields]))
     row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    wanted = None
+    if words is not None:
+        files, wanted = files.where(F.col("content").rlike(words)), F.col("part").rlike(words)
     return (
-        statements(files)
+        statements(files, wanted)
         .select("project", "path", "seq", F.explode_outer(F.when(condition, row)).alias("row"))
         .where(F.col("row").isNotNull())
         .select("project", "path", "seq", "row.*")
@@ -446,15 +464,16 @@ def _solidity(files: DataFrame) -> DataFrame:
 
 
 def functions(files: DataFrame) -> DataFrame:
-    return statement_facts(_solidity(files), function_fact)
+    return statement_facts(
+        _solidity(files), function_fact, "function|constructor|fallback|receive|modifier")
 
 
 def state_variables(files: DataFrame) -> DataFrame:
-    return statement_facts(_solidity(files), variable_fact).drop("seq")
+    return statement_facts(_solidity(files), variable_fact, "contract|library|interface|;").drop("seq")
 
 
 def events(files: DataFrame) -> DataFrame:
-    return statement_facts(_solidity(files), event_fact).drop("seq")
+    return statement_facts(_solidity(files), event_fact, "event").drop("seq")
 
 
 def modifiers(functions_df: DataFrame) -> DataFrame:
