@@ -142,8 +142,9 @@ def pieces(content: Column, language: Column) -> Column:
 
 def piece_text(piece: Column) -> Column:
     bare = F.regexp_replace(piece, _MARK, "")
-    whole = F.when(bare.rlike(f"[{_HELD}]"), F.translate(bare, _HELD, _DELIMITERS)).otherwise(bare)
-    return F.btrim(whole, F.lit(" \t\r\n"))
+    held = piece.rlike(f"[{_HELD}]")
+    return F.btrim(
+        F.when(held, F.translate(bare, _HELD, _DELIMITERS)).otherwise(bare), F.lit(" \t\r\n"))
 
 
 def piece_line(piece: Column) -> Column:
@@ -173,7 +174,6 @@ def _block_events(parts: Column, language: Column) -> Column:
             .otherwise(0).alias("indent"),
             opens.alias("opens"),
             F.when(opens, piece_text(p)).alias("header"),
-            F.when(opens, is_function(piece_text(p), language)).alias("is_function"),
             piece_line(p).alias("line"),
             piece_last_line(p).alias("last_line"),
         )
@@ -182,7 +182,15 @@ def _block_events(parts: Column, language: Column) -> Column:
         F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
         lambda s: python | F.right(s.p, F.lit(1)).isin("{", "}"),
     )
-    return F.transform(wanted, lambda s: event(s.p, s.i))
+    # Lambdas do not share subexpressions, so the header is put together once, here.
+    found = F.transform(wanted, lambda s: event(s.p, s.i))
+    return F.transform(
+        found,
+        lambda e: F.struct(
+            *[e[f].alias(f) for f in ("seq", "kind", "indent", "opens", "header", "line", "last_line")],
+            F.when(e["opens"], is_function(e["header"], language)).alias("is_function"),
+        ),
+    )
 
 
 def blocks(parts: Column, language: Column) -> Column:
