@@ -321,8 +321,12 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
     location = f"{base}/corpus-{name}"
     if location not in _WRITTEN:
-        derived = derive_source_files(spark, sf_dir)
-        with_suffix(derived).write.mode("overwrite").partitionBy("ext").parquet(location)
+        derived = with_suffix(derive_source_files(spark, sf_dir))
+        writer = derived.write.mode("overwrite").partitionBy("ext")
+        if spark.sparkContext.master.startswith("local"):
+            # A parquet row group is one task's work; small test data needs small ones.
+            writer = writer.option("maxRecordsPerFile", 2000)
+        writer.parquet(location)
         _WRITTEN.add(location)
     return spark.read.schema(SCHEMA).parquet(location)
 

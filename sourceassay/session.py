@@ -48,9 +48,8 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
-        # Small files, heavy parsing: cut the input finer than its size asks for.
+        # Small input, heavy parsing: cut it finer than its size asks for.
         .config("spark.sql.files.minPartitionNum", str(4 * cores))
-        .config("spark.sql.files.openCostInBytes", "65536")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
