@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from sourceassay import fixed_values as fv
 from sourceassay.functions import findings as fn
 from sourceassay.functions import paths, text
-from sourceassay.functions import solidity as sol
-from sourceassay.functions.sizing import nth_smallest, number_rows
+from sourceassay.functions.sizing import number_rows
 from sourceassay.operators import contracts, corpus, facts, report, rules, signatures, snapshots
 from sourceassay.operators import solidity_index, structure
 from sourceassay.plans import demo_corpus, demo_findings
@@ -108,9 +107,13 @@ class Tables:
 
 @query("src_1_scan_corpus")
 def _(t: Tables) -> DataFrame:
+    """Write the documents out as real files in the shared folder and walk them."""
     ensure_checkpoint_dir(t.spark)
+    shared = t.spark.sparkContext.getCheckpointDir()
+    if not shared.startswith(("file:", "/")):
+        raise ValueError("this query walks files: spark.checkpoint.dir has to be a mounted folder")
     name = hashlib.sha256(t.sf_dir.encode()).hexdigest()[:12]
-    base = f"{t.spark.sparkContext.getCheckpointDir().removeprefix('file:')}/tree-{name}"
+    base = f"{shared.removeprefix('file:')}/tree-{name}"
     docs = t.files.where(F.col("ext").isin(".md", ".js", ".ts", ".tsx", ".jsx") & F.col("path").rlike("/D[0-9]+[.]"))
     if not os.path.isdir(base):
         _write_tree(docs.select("project", "path", "raw"), base)
