@@ -69,10 +69,10 @@ def _groups(base: DataFrame, counters: int) -> DataFrame:
     low = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("low", T.LongType())])
     frequent = (base.select("digest").mapInArrow(_summaries(counters), low)
                 .groupBy("digest").agg(F.sum("low").alias("low")).orderBy(F.desc("low"), "digest").limit(counters))
-    rows = base.agg(F.count("*").alias("rows"))
+    rows = base.count()
     winners = (base.join(F.broadcast(frequent.select("digest")), "digest")  # at most `counters` rows
                .groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
-               .join(F.broadcast(rows)).where(F.col("group_size") * counters > 2 * F.col("rows")).drop("rows"))
+               .where(F.col("group_size") * counters > 2 * rows))
     winners = F.broadcast(settle(winners, "frequent"))  # at most `counters` / 2 rows
 
     group = W.partitionBy("digest")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import exact_dedup
+from sourceassay.llm import decontamination, exact_dedup, sharding
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontamination.op1,
     "op7_exact_dedup": exact_dedup.op7,
+    "op10_sharding": sharding.op10,
 }
 
 ORACLE_SQL = {
+    "op1_benchmark_decontamination": decontamination.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
