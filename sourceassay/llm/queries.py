@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import decontamination, exact_dedup, sharding
+from sourceassay.llm import bpe, decontamination, exact_dedup, licenses, sharding, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
+    "op2_toxicity": toxicity.op2,
+    "op4_license_scan": licenses.op4,
+    "op5_byte_bpe": bpe.op5,
     "op7_exact_dedup": exact_dedup.op7,
     "op10_sharding": sharding.op10,
 }
