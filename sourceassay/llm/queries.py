@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import bpe, decontamination, exact_dedup, licenses, sharding, toxicity
+from sourceassay.llm import (bpe, decontamination, exact_dedup, html_text, licenses, personal_data, quality,
+                              sharding, toxicity)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_quality": quality.op3,
     "op4_license_scan": licenses.op4,
     "op5_byte_bpe": bpe.op5,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_personal_data": personal_data.op8,
+    "op9_html_text": html_text.op9,
     "op10_sharding": sharding.op10,
 }
 
