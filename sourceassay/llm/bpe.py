@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -26,11 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceassay.llm.store import free_name, settle
+from sourceassay.llm.store import free_name, settle, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Code points of a chunk without and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Bytes of text and ids that a task holds as Python objects at once (plus one text).
+TEXT_BYTES, IDS = 2 << 20, 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -68,14 +69,12 @@ def _encode(path: str, pattern: str, column: int):
     def run(batches):
         bpe = encoding(path, pattern)
         for batch in batches:
-            texts = iter(batch.column(column).to_pylist())
-            ids, ends = [], [0]
-            for text in texts:
-                ids.append(np.array(bpe.encode_ordinary(text) if text else [], np.int32))
-                ends.append(ends[-1] + len(ids[-1]))
-            columns = batch.columns
-            columns[column] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in slices(batch, column, TEXT_BYTES):
+                ids = [np.array(bpe.encode_ordinary(text) if text else [], np.int32) for text in part.column(column).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)])
+                columns = part.columns
+                columns[column] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
     return run
 
 
@@ -132,13 +131,11 @@ def _decode(path: str, pattern: str, column: int):
     def run(batches):
         bpe = encoding(path, pattern)
         for batch in batches:
-            lists = batch.column(column)
-            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            tokens = iter(map(bpe.decode_single_token_bytes, ids.tolist()))
-            texts = [b"".join(islice(tokens, n)) for n in np.diff(np.r_[0, ends]).tolist()]
-            columns = batch.columns
-            columns[column] = pa.array(texts, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in slices(batch, column, IDS):
+                texts = [bpe.decode_bytes(ids) if ids else b"" for ids in part.column(column).to_pylist()]
+                columns = part.columns
+                columns[column] = pa.array(texts, pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
     return run
 
 

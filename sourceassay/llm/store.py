@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from sourceassay.session import ensure_checkpoint_dir
@@ -36,3 +40,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive parts that hold at most ``most`` bytes of text, or list elements, in ``column`` (plus one row)."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    before = np.cumsum(np.r_[0, length.fill_null(0).to_numpy(zero_copy_only=False)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(before, before[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
