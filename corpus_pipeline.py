@@ -1,22 +1,58 @@
-"""Pipeline over ``documents``; its stages follow with their operators."""
+"""Pipeline over ``documents``: from raw texts to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
+columns of ``documents``.  Between two stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-from sourceassay.llm import exact_dedup
+from pyspark.sql import DataFrame, SparkSession
+
+from sourceassay.llm import bpe, decontamination, exact_dedup, near_dedup, quality
+from sourceassay.llm.store import settle
+
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.7) go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-def exact(spark, docs, sf_dir):
-    """Stage 2: of equal texts the longest stays."""
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without spaces the longest stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 of their five-word shingles the one with the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs, width=5, least=80)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level BPE", token_ids),
+]
 
+#: The classifier can't be expressed in SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs, f"stage-{k + 1}")
     return docs

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import (bpe, decontamination, exact_dedup, html_text, licenses, personal_data, quality,
-                              sharding, toxicity)
+from sourceassay.llm import (bpe, decontamination, exact_dedup, html_text, licenses, near_dedup, personal_data,
+                              quality, sharding, toxicity)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_quality": quality.op3,
     "op4_license_scan": licenses.op4,
     "op5_byte_bpe": bpe.op5,
+    "op6_near_dedup": near_dedup.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_personal_data": personal_data.op8,
     "op9_html_text": html_text.op9,
@@ -19,5 +20,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontamination.OP1_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
