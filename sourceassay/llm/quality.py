@@ -50,24 +50,24 @@ class Block:
     """Texts laid out one after the other: bytes, repetition channel, and where the steps, chunks and texts lie."""
 
     def __init__(self, texts: list[bytes]):
-        # A text starts at a step and is followed by zeros, so that no filter sees two texts.
-        steps = np.array([-(-len(t) // STEP) + TAPS - 1 for t in texts], np.int64)
+        # A text starts at a step and is followed by zeros, so that neither a filter nor a repetition sees two texts.
+        real = np.array([max(1, -(-len(t) // STEP)) for t in texts], np.int64)
+        steps = real + max(TAPS - 1, -(-(LAGS[-1] + AGREE) // STEP))
         self.begin = np.cumsum(steps) - steps
-        self.size = max(1, int(steps.sum()))
+        self.size = int(steps.sum())
         data = bytearray(self.size * STEP)
         for at, t in zip((self.begin * STEP).tolist(), texts):
             data[at : at + len(t)] = t
         self.data = np.frombuffer(bytes(data), np.uint8)
         again = np.zeros(len(self.data), bool)
         for lag in LAGS:
-            same = (self.data[lag:] == self.data[:-lag]) & (self.data[lag:] != 0x20)
+            same = (self.data[lag:] == self.data[:-lag]) & (self.data[lag:] != 0x20) & (self.data[lag:] != 0)
             run = same[: len(same) - AGREE + 1].copy() if len(same) >= AGREE else np.zeros(0, bool)
             for k in range(1, AGREE):
                 run &= same[k : len(same) - AGREE + 1 + k]
             again[lag + AGREE - 1 : lag + AGREE - 1 + len(run)] |= run
         self.again = again
-        # Chunks of a text: every HOP steps, at least one; a filter starts at each step but the last ones.
-        real = np.maximum(steps - TAPS + 1, 1)
+        # Chunks of a text: every HOP steps, at least one; a filter starts at each step of the text.
         chunks = np.maximum(1, -(-np.maximum(real - CHUNK, 0) // HOP) + 1)
         self.owner = np.repeat(np.arange(len(texts)), chunks)
         number = np.arange(len(self.owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
