@@ -1,4 +1,4 @@
-"""Size checks in front of broadcasts, and bounded work on hot groups."""
+"""Bounded work on hot groups."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 
 from sourceassay.session import ensure_checkpoint_dir
 
-#: Most rows a broadcast side may have; beyond it the join is left to shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it is small; else return it as it is."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Fill the cluster when the input has fewer splits than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sourceassay import fixed_values as fv
 from sourceassay.functions import paths, text
-from sourceassay.functions.sizing import broadcast_checked, nth_smallest
+from sourceassay.functions.sizing import nth_smallest
 
 
 def ignored_dirs(track: str = "general", extra: Iterable[str] = ()) -> tuple[str, ...]:
@@ -69,16 +69,12 @@ def first_excluded(files: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def cap_files(files: DataFrame, cap: int) -> DataFrame:
-    """First ``cap`` files per project by path.
-
-    Only paths are ranked; the contents are filtered in place against one cut
-    path per project that is over the cap.
-    """
-    cuts = broadcast_checked(first_excluded(files, cap))
+def tag_limit(files: DataFrame, cap: int) -> DataFrame:
+    """Every file, with ``beyond_limit``: whether it is after the first ``cap`` files of its project by path."""
+    beyond = F.coalesce(F.col("path") >= F.col("first_excluded"), F.lit(False))
     return (
-        files.join(cuts, "project", "left")
-        .where(F.col("first_excluded").isNull() | (F.col("path") < F.col("first_excluded")))
+        files.join(first_excluded(files, cap), "project", "left")
+        .withColumn("beyond_limit", beyond)
         .drop("first_excluded")
     )
 
@@ -122,22 +118,17 @@ def index_columns(files: DataFrame) -> DataFrame:
     )
 
 
-def file_index(
-    files: DataFrame, extra: Iterable[str] = (), cap: int | None = fv.GENERAL_MAX_FILES
-) -> DataFrame:
-    """The general index; ``cap=None`` keeps every file."""
-    found = candidates(files, extra=extra)
-    found = found if cap is None else cap_files(found, cap)
-    return index_columns(decode_files(found)[0])
+def file_index(files: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    """The general index, of every decodable file; ``tag_limit`` and ``truncation`` report the file limit."""
+    return index_columns(decode_files(candidates(files, extra=extra))[0])
 
 
-def solidity_sources(
-    files: DataFrame, extra: Iterable[str] = (), cap: int | None = fv.SOLIDITY_MAX_FILES
-) -> DataFrame:
-    """Decoded Solidity files; contents stay raw, the hash is over the raw bytes."""
-    found = candidates(files, "solidity", extra)
-    found = found if cap is None else cap_files(found, cap)
-    ok, _ = decode_files(found, fv.SOLIDITY_MAX_BYTES)
+def solidity_sources(files: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    """Decoded Solidity files of any size; contents stay raw, the hash is over the raw bytes.
+
+    A file above the size limit is only reported: ``file_too_large`` is a warning of ``decode_files``.
+    """
+    ok, _ = decode_files(candidates(files, "solidity", extra))
     return ok.withColumn("hash", F.sha2("raw", 256)).withColumn(
         "original_size", F.octet_length("raw").cast("bigint")
     )
@@ -146,36 +137,33 @@ def solidity_sources(
 def scan_summary(
     files: DataFrame, extra: Iterable[str] = (), cap: int = fv.GENERAL_MAX_FILES
 ) -> DataFrame:
-    """Per project: indexed files, ignored entries, errors, bytes, truncation.
+    """Per project: indexed files, ignored entries, errors, bytes, and whether there are more files than ``cap``.
 
     A pruned directory counts once however many files it holds; symlinks and
-    files with other suffixes count one each.
+    files with other suffixes count one each.  Contents are read of candidates only.
     """
-    tagged = (
-        skip_tags(files, extra)
-        .join(broadcast_checked(first_excluded(candidates(files, extra=extra), cap)),
-              "project", "left")
-        .withColumn(
-            "kept",
-            F.col("candidate")
-            & (F.col("first_excluded").isNull() | (F.col("path") < F.col("first_excluded"))),
-        )
-        .withColumn("bad", F.col("kept") & _read_error(None).isNotNull())
-        .select(
-            "project", "pruned", "ignored_file", "kept", "bad",
-            F.col("first_excluded").isNotNull().alias("cut"),
-            F.octet_length("raw").cast("bigint").alias("bytes"),
-        )
-    )
-    good = F.col("kept") & ~F.col("bad")
-    return tagged.groupBy("project").agg(
-        F.count_if(good).alias("total_files"),
+    seen = skip_tags(files.select("project", "path", "is_symlink"), extra).groupBy("project").agg(
         (F.count_distinct(F.nullif("pruned", F.lit(""))) + F.count_if("ignored_file")).alias(
             "total_ignored"
         ),
-        F.count_if("bad").alias("total_errors"),
-        F.coalesce(F.sum(F.when(good, F.col("bytes"))), F.lit(0)).alias("total_size_bytes"),
-        F.bool_or("cut").alias("truncated"),
+    )
+    bad = _read_error(None).isNotNull()
+    read = (
+        candidates(files, extra=extra)
+        .select("project", bad.alias("bad"), F.octet_length("raw").cast("bigint").alias("bytes"))
+        .groupBy("project")
+        .agg(
+            F.count_if(~F.col("bad")).alias("total_files"),
+            F.count_if("bad").alias("total_errors"),
+            F.sum(F.when(~F.col("bad"), F.col("bytes"))).alias("total_size_bytes"),
+            (F.count("*") > cap).alias("truncated"),
+        )
+    )
+    def known(name: str, default) -> Column:
+        return F.coalesce(name, F.lit(default)).alias(name)
+    return seen.join(read, "project", "left").select(
+        "project", known("total_files", 0), "total_ignored", known("total_errors", 0),
+        known("total_size_bytes", 0), known("truncated", False),
     )
 
 
@@ -205,24 +193,20 @@ def ignored_counts(files: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
 def solidity_summary(
     files: DataFrame, extra: Iterable[str] = (), cap: int = fv.SOLIDITY_MAX_FILES
 ) -> DataFrame:
-    """Solidity totals of every project that has at least one candidate."""
-    found = candidates(files, "solidity", extra)
-    cuts = broadcast_checked(first_excluded(found, cap))
-    kept = F.col("first_excluded").isNull() | (F.col("path") < F.col("first_excluded"))
-    error = _read_error(fv.SOLIDITY_MAX_BYTES)
+    """Solidity totals of every project that has at least one candidate.
+
+    Files above the size limit are analysed like others and counted in ``total_too_large`` besides.
+    """
+    bad = _read_error(None).isNotNull()
     return (
-        found.join(cuts, "project", "left")
-        .select(
-            "project",
-            (kept & error.isNull()).alias("good"),
-            (kept & error.isNotNull()).alias("bad"),
-            F.col("first_excluded").isNotNull().alias("cut"),
-        )
+        candidates(files, "solidity", extra)
+        .select("project", bad.alias("bad"), (F.octet_length("raw") > fv.SOLIDITY_MAX_BYTES).alias("large"))
         .groupBy("project")
         .agg(
-            F.count_if("good").alias("total_files"),
+            F.count_if(~F.col("bad")).alias("total_files"),
             F.count_if("bad").alias("total_errors"),
-            F.bool_or("cut").alias("truncated"),
+            F.count_if("large").alias("total_too_large"),
+            (F.count("*") > cap).alias("truncated"),
         )
     )
 

@@ -20,15 +20,11 @@ from sourceassay.operators import structure
 Fact = Callable[[Column], tuple[Column, dict[str, Column]]]
 
 
-def _short(line: Column, limit: int) -> Column:
-    return F.left(py_strip(line), F.lit(limit))
-
-
 def call_fact(line: Column) -> tuple[Column, dict[str, Column]]:
     kind = sol.call_type(line)
     return kind.isNotNull(), {
         "callee": F.lit(""), "method": kind, "call_type": kind, "value": F.lit(""),
-        "text": _short(line, fv.CALL_TEXT),
+        "text": py_strip(line),
     }
 
 
@@ -39,13 +35,13 @@ def modifier_fact(line: Column) -> tuple[Column, dict[str, Column]]:
 
 def tx_origin_fact(line: Column) -> tuple[Column, dict[str, Column]]:
     return F.contains(line, F.lit("tx.origin")), {
-        "type": F.lit("tx_origin"), "condition": _short(line, fv.CALL_TEXT),
+        "type": F.lit("tx_origin"), "condition": py_strip(line),
     }
 
 
 def oracle_fact(line: Column) -> tuple[Column, dict[str, Column]]:
     source = sol.oracle_source(line)
-    return source.isNotNull(), {"source": source, "identifier": _short(line, fv.ORACLE_TEXT)}
+    return source.isNotNull(), {"source": source, "identifier": py_strip(line)}
 
 
 def line_facts(files: DataFrame, fact: Fact) -> DataFrame:
@@ -72,7 +68,7 @@ def call_statement(s: structure.Statement) -> tuple[Column, dict[str, Column]]:
     kind = sol.call_type(s.text)
     return kind.isNotNull(), {
         "callee": sol.call_callee(s.text), "method": kind, "call_type": kind,
-        "value": sol.call_value(s.text), "text": F.left(s.text, F.lit(fv.CALL_TEXT)),
+        "value": sol.call_value(s.text), "text": s.text,
         "line": s.line,
     }
 
@@ -106,7 +102,7 @@ def external_calls(files: DataFrame) -> DataFrame:
 def auth_statement(s: structure.Statement) -> tuple[Column, dict[str, Column]]:
     condition = F.regexp_extract(s.text, r"(?s)\b((?:require|assert)\s*\(.*\))", 1)
     return sol.is_auth_requirement(s.text), {
-        "type": F.lit("require"), "condition": F.left(condition, F.lit(fv.CALL_TEXT)),
+        "type": F.lit("require"), "condition": condition,
         "line": s.line,
     }
 
@@ -166,7 +162,7 @@ def state_writes(files: DataFrame, mode: str = "compat") -> DataFrame:
                      F.posexplode_outer(lines).alias("pos", "text"))
         .where(sol.is_state_write(F.col("text"), mode))
         .select("project", "path", "n_lines", (F.col("pos") + 1).alias("line"),
-                _short(F.col("text"), fv.ORACLE_TEXT).alias("state_write_text"))
+                py_strip(F.col("text")).alias("state_write_text"))
     )
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceassay.functions import paths
-from sourceassay.functions.sizing import broadcast_checked
 
 
 def last_patches(patches: DataFrame) -> DataFrame:
@@ -111,21 +110,21 @@ def markdown_body(report: DataFrame, applied: DataFrame) -> DataFrame:
 
 
 def mark_overlaps(report: DataFrame) -> DataFrame:
-    """Patches of a file that overlap an earlier one (by start, then id) are marked.
+    """Patches of a file in the order of start and id; one that overlaps the last *accepted* one is rejected.
 
     Rows come from valid manifests, so a file has 500 patches at most.
     """
     rows = F.array_sort(F.collect_list(F.struct("line_start", "id", "line_end", "patch")))
-    def overlaps(p: Column, ps: Column) -> Column:
-        return F.exists(ps, lambda q: (
-            (F.struct(q["line_start"], q["id"]) < F.struct(p["line_start"], p["id"]))
-            & (q["line_end"] >= p["line_start"])))
-    return report.groupBy("project", "file_path").agg(rows.alias("ps")).select(
-        "project", "file_path",
-        F.transform("ps", lambda p: F.struct(
-            p["line_start"].alias("line_start"), p["line_end"].alias("line_end"),
-            p["id"].alias("id"), p["patch"].alias("patch"),
-            overlaps(p, F.col("ps")).alias("rejected"))).alias("patches"))
+    kind = "array<struct<line_start:int,line_end:int,id:string,patch:string,rejected:boolean>>"
+    def step(done: Column, p: Column) -> Column:
+        rejected = p["line_start"] <= done["end"]
+        marked = F.struct(p["line_start"].alias("line_start"), p["line_end"].alias("line_end"), p["id"].alias("id"),
+                          p["patch"].alias("patch"), rejected.alias("rejected"))
+        return F.struct(F.when(rejected, done["end"]).otherwise(p["line_end"]).alias("end"),
+                        F.concat(done["patches"], F.array(marked).cast(kind)).alias("patches"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("patches"))
+    return report.withColumns({c: F.col(c).cast("int") for c in ("line_start", "line_end")}).groupBy("project", "file_path").agg(
+        rows.alias("ps")).select("project", "file_path", F.aggregate("ps", none, step, lambda d: d["patches"]).alias("patches"))
 
 
 def splice(files: DataFrame, applicable: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def splice(files: DataFrame, applicable: DataFrame) -> DataFrame:
         return F.concat(before, F.split(p["patch"], "\n"), after)
     spliced = F.aggregate(F.reverse("accepted"), F.split("content", "\n"), replace)
     return files.select("project", "path", "content").join(
-        broadcast_checked(marked), ["project", "path"]
+        marked, ["project", "path"]
     ).select("project", "path", F.array_join(spliced, "\n").alias("content"),
              F.size("accepted").alias("applied"), "rejected")
 

@@ -84,7 +84,7 @@ _MATCH = "array<struct<vulnerability_class:string,line_start:int,line_end:int,sn
 def _match(name: str, start: Column, end: Column) -> Column:
     return F.struct(
         F.lit(name).alias("vulnerability_class"), start["line"].alias("line_start"),
-        end["line"].alias("line_end"), F.left(end["args"], F.lit(fv.CALL_TEXT)).alias("snippet"))
+        end["line"].alias("line_end"), end["args"].alias("snippet"))
 
 
 def _hits(name: str, nodes: Column) -> Column:

@@ -79,7 +79,7 @@ def sol_files(files: DataFrame, mode: str = "compat") -> DataFrame:
     writes = F.filter(
         F.transform(lines, lambda t, i: F.when(
             sol.is_state_write(t, mode),
-            F.struct((i + 1).alias("line"), F.left(py_strip(t), F.lit(fv.ORACLE_TEXT)).alias("text")))),
+            F.struct((i + 1).alias("line"), py_strip(t).alias("text")))),
         lambda w: w.isNotNull(),
     )
     parsed = (
@@ -139,7 +139,5 @@ def sol_files(files: DataFrame, mode: str = "compat") -> DataFrame:
     )
 
 
-def solidity_index(
-    source_files: DataFrame, cap: int | None = fv.SOLIDITY_MAX_FILES, mode: str = "compat"
-) -> DataFrame:
-    return sol_files(corpus.solidity_sources(source_files, cap=cap), mode)
+def solidity_index(source_files: DataFrame, mode: str = "compat") -> DataFrame:
+    return sol_files(corpus.solidity_sources(source_files), mode)

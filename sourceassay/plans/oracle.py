@@ -90,13 +90,13 @@ CTES = {
     "ok": "SELECT * FROM dec WHERE content IS NOT NULL",
     "capped": "SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn, "
               "count(*) OVER (PARTITION BY project) AS discovered FROM dec",
-    "kept": f"SELECT * FROM capped WHERE rn <= {fv.GENERAL_MAX_FILES} AND content IS NOT NULL",
+    "kept": "SELECT * FROM capped WHERE content IS NOT NULL",
     "sol0": f"SELECT *, 'sol' AS language FROM src WHERE NOT is_symlink AND {_SUFFIX} = '.sol' "
             f"AND NOT {_segments(fv.SOLIDITY_IGNORED_DIRS)}",
     "sold": "SELECT project, path, language, raw, octet_length(raw) AS bytes, TRY(decode(raw)) AS content, "
             "row_number() OVER (PARTITION BY project ORDER BY path) AS rn, "
             "count(*) OVER (PARTITION BY project) AS discovered FROM sol0",
-    "sol": f"SELECT * FROM sold WHERE bytes <= {fv.SOLIDITY_MAX_BYTES} AND content IS NOT NULL",
+    "sol": "SELECT * FROM sold WHERE content IS NOT NULL",
     "sollines": _lines("sol"),
     "solversion": r"SELECT project, path, content, nullif(trim(regexp_extract(content, "
                   rf"'pragma\s+solidity\s+([^;]+);', 1), {_BLANKS}), '') AS solidity_version FROM sol",
@@ -300,15 +300,15 @@ add("audit_index_by_language", "SELECT project, language, count(*) AS files, CAS
 
 _TRIM = f"trim(text, {_BLANKS})"
 add("ext_1_line_calls", f"SELECT project, path, '' AS callee, {_CALL} AS method, {_CALL} AS call_type, '' AS value, "
-    f"left({_TRIM}, 300) AS text, line FROM sollines s WHERE {_CALL} IS NOT NULL".replace("left(trim(text", "left(trim(s.text"))
-add("ext_2_statement_calls", "SELECT project, path, callee, method, call_type, value, left(text, 300) AS text, line FROM calls")
+    f"{_TRIM} AS text, line FROM sollines s WHERE {_CALL} IS NOT NULL".replace("trim(text", "trim(s.text"))
+add("ext_2_statement_calls", "SELECT project, path, callee, method, call_type, value, text, line FROM calls")
 add("ext_3_owner_modifiers", f"SELECT project, path, 'modifier' AS type, {_OWNERS} AS condition, line FROM sollines "
     f"WHERE {_OWNERS} <> ''")
-_REQUIRED = r"left(regexp_extract(text, '\b((?:require|assert)\s*\(.*\))', 1), 300)"
+_REQUIRED = r"regexp_extract(text, '\b((?:require|assert)\s*\(.*\))', 1)"
 add("ext_4_auth_requirements", f"SELECT project, path, 'require' AS type, {_REQUIRED} AS condition, line FROM sm WHERE {_AUTH}")
-add("ext_5_tx_origin", f"SELECT project, path, 'tx_origin' AS type, left({_TRIM}, 300) AS condition, line FROM sollines "
+add("ext_5_tx_origin", f"SELECT project, path, 'tx_origin' AS type, {_TRIM} AS condition, line FROM sollines "
     "WHERE contains(text, 'tx.origin')")
-add("ext_6_oracle_uses", f"SELECT project, path, {_ORACLE} AS source, left({_TRIM}, 200) AS identifier, line FROM sollines "
+add("ext_6_oracle_uses", f"SELECT project, path, {_ORACLE} AS source, {_TRIM} AS identifier, line FROM sollines "
     f"WHERE {_ORACLE} IS NOT NULL")
 add("ext_7_arithmetic_ops", "SELECT * FROM arith")
 CTES["fnrows"] = r"""SELECT project, path, name,
@@ -337,7 +337,7 @@ add("ext_12_flash_loan_markers", f"SELECT project, path, name AS function, line_
 
 def _reentrancy(writes: str) -> str:
     return f"""SELECT f.project, f.path, f.name AS function, f.line_start, f.call_line AS external_call_line,
-      min(w.line) AS state_write_line, left(arg_min(w.text, w.line), 200) AS state_write_text, 'CRITICAL' AS severity
+      min(w.line) AS state_write_line, arg_min(w.text, w.line) AS state_write_text, 'CRITICAL' AS severity
     FROM firstcall f JOIN {writes} w ON w.project = f.project AND w.path = f.path
       AND w.line >= f.call_line AND w.line < least(f.line_end, w.n_lines)
     GROUP BY f.project, f.path, f.name, f.line_start, f.call_line"""
@@ -354,7 +354,7 @@ def _count(table: str) -> str:
     return f"(SELECT count(*) FROM {table} x WHERE x.project = s.project AND x.path = s.path)"
 
 
-CTES["capsol"] = f"SELECT * FROM sold WHERE rn <= {fv.SOLIDITY_MAX_FILES} AND bytes <= {fv.SOLIDITY_MAX_BYTES} AND content IS NOT NULL"
+CTES["capsol"] = "SELECT * FROM sold WHERE content IS NOT NULL"
 _COUNTS = {
     "n_functions": "SELECT project, path FROM fns",
     "n_state_variables": "SELECT project, path FROM sm WHERE line <= 6 AND raw_text LIKE '    %;' AND text NOT LIKE 'event%'",
@@ -439,7 +439,7 @@ CTES["vreport"] = "SELECT * FROM report WHERE project NOT IN (SELECT project FRO
 CTES["applicable"] = """SELECT r.* FROM vreport r WHERE patch <> '' AND file_path <> ''
     AND EXISTS (SELECT 1 FROM src s WHERE NOT s.is_symlink AND s.project = r.code_project AND s.path = r.file_path)"""
 add("joi_6_applicable_patches", "SELECT code_project AS project, idx, id, file_path, patch FROM applicable")
-_JOINED_CALLS = "SELECT project, path, callee, method, call_type, value, left(text, 300) AS text, line FROM calls"
+_JOINED_CALLS = "SELECT project, path, callee, method, call_type, value, text, line FROM calls"
 add("joi_7_external_calls", _JOINED_CALLS)
 add("joi_11_splice", """
     SELECT s.project, s.path, sha256(array_to_string(list_concat(list_concat(
@@ -463,16 +463,14 @@ add("agg_1_scan_summary", f"""
     SELECT i.project, coalesce(c.total_files, 0) AS total_files, ignored_dirs + ignored_files AS total_ignored,
       coalesce(c.total_errors, 0) AS total_errors, CAST(coalesce(c.total_size_bytes, 0) AS BIGINT) AS total_size_bytes,
       coalesce(c.truncated, false) AS truncated
-    FROM ignored i LEFT JOIN (SELECT project, count(*) FILTER (WHERE content IS NOT NULL AND rn <= {fv.GENERAL_MAX_FILES}) AS total_files,
-      count(*) FILTER (WHERE content IS NULL AND rn <= {fv.GENERAL_MAX_FILES}) AS total_errors,
-      sum(octet_length(raw)) FILTER (WHERE content IS NOT NULL AND rn <= {fv.GENERAL_MAX_FILES}) AS total_size_bytes,
+    FROM ignored i LEFT JOIN (SELECT project, count(*) FILTER (WHERE content IS NOT NULL) AS total_files,
+      count(*) FILTER (WHERE content IS NULL) AS total_errors,
+      sum(octet_length(raw)) FILTER (WHERE content IS NOT NULL) AS total_size_bytes,
       max(discovered) > {fv.GENERAL_MAX_FILES} AS truncated FROM capped GROUP BY project) c USING (project)""")
 add("agg_3_solidity_summary", f"""
-    SELECT project, count(*) FILTER (WHERE good) AS total_files, count(*) FILTER (WHERE NOT good) AS total_errors,
-      max(discovered) > {fv.SOLIDITY_MAX_FILES} AS truncated
-    FROM (SELECT project, discovered, rn, bytes <= {fv.SOLIDITY_MAX_BYTES} AND content IS NOT NULL AS good FROM sold)
-    GROUP BY project""".replace("WHERE good", f"WHERE good AND rn <= {fv.SOLIDITY_MAX_FILES}")
-    .replace("WHERE NOT good", f"WHERE NOT good AND rn <= {fv.SOLIDITY_MAX_FILES}"))
+    SELECT project, count(*) FILTER (WHERE content IS NOT NULL) AS total_files, count(*) FILTER (WHERE content IS NULL) AS total_errors,
+      count(*) FILTER (WHERE bytes > {fv.SOLIDITY_MAX_BYTES}) AS total_too_large, max(discovered) > {fv.SOLIDITY_MAX_FILES} AS truncated
+    FROM sold GROUP BY project""")
 _LEVELS = ", ".join(f"count(*) FILTER (WHERE lower(severity) = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
 add("agg_4_severity_counts", f"SELECT project, count(*) AS total_findings, {_LEVELS} FROM findings GROUP BY project")
 add("agg_5_first_call", "SELECT project, path, name AS function, line_start, call_line AS external_call_line FROM firstcall")
@@ -481,8 +479,7 @@ add("agg_6_truncated", f"""
       s.discovered > {fv.SOLIDITY_MAX_FILES} AS sol_truncated
     FROM (SELECT project, count(*) AS discovered FROM gen GROUP BY project) g
     LEFT JOIN (SELECT project, count(*) AS discovered FROM sol0 GROUP BY project) s USING (project)""")
-add("agg_7_path_hash_map", "SELECT project, count(*) AS n, sha256(string_agg(path || '=' || sha256(stripped), ';' ORDER BY path)) "
-    "AS digest FROM norm GROUP BY project")
+add("agg_7_path_hash_map", "SELECT project, path, sha256(stripped) AS hash FROM norm")
 add("agg_8_violation_counts", "SELECT project, rule, level, count(*) AS n FROM badb GROUP BY project, rule, level")
 _HEAD_TEXT = ("'**Summary:** ' || count(*) || ' finding(s) -- ' || "
               + " || ', ' || ".join(f"count(*) FILTER (WHERE severity = '{s}') || ' {s.lower()}'" for s in fv.SEVERITIES) + " || '.'")
@@ -505,7 +502,7 @@ add("agg_12_owner_rollup", f"SELECT owner, project, count(*) AS total_findings,
 
 # --- windows, sorts, limits, set operations -------------------------------------------------------------
 
-add("win_1_cap_files", f"SELECT project, path FROM sold WHERE rn <= {fv.SOLIDITY_MAX_FILES}")
+add("win_1_cap_files", f"SELECT project, path, rn > {fv.SOLIDITY_MAX_FILES} AS beyond_limit FROM sold")
 add("win_2_finding_numbers", "SELECT project, file_path, line_start, vulnerability_class, idx, row_number() OVER "
     "(PARTITION BY project ORDER BY file_path, line_start, vulnerability_class, idx) AS seq FROM findings")
 add("win_3_duplicate_ids", "SELECT *, 'id is used before' AS message FROM dups")
@@ -522,7 +519,7 @@ add("lim_1_text_limits", "SELECT project, idx, " + ", ".join(
 add("set_1_access_controls", f"""
     SELECT project, path, 'modifier' AS type, {_OWNERS} AS condition, line, 0 AS part FROM sollines WHERE {_OWNERS} <> ''
     UNION ALL SELECT project, path, 'require', {_REQUIRED}, line, 1 FROM sm WHERE {_AUTH}
-    UNION ALL SELECT project, path, 'tx_origin', left({_TRIM}, 300), line, 2 FROM sollines WHERE contains(text, 'tx.origin')""")
+    UNION ALL SELECT project, path, 'tx_origin', {_TRIM}, line, 2 FROM sollines WHERE contains(text, 'tx.origin')""")
 add("set_3_call_detectors", "SELECT call_type, 'statement' AS detector, count(*) AS n FROM calls GROUP BY call_type")
 
 # --- rules -------------------------------------------------------------------------------------------------

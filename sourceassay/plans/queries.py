@@ -62,7 +62,7 @@ class Tables:
 
     @property
     def solidity(self) -> DataFrame:
-        return corpus.solidity_sources(self.files, cap=None)
+        return corpus.solidity_sources(self.files)
 
     @property
     def index(self) -> DataFrame:
@@ -546,11 +546,7 @@ def _(t):
 
 @query("agg_7_path_hash_map")
 def _(t):
-    maps = snapshots.path_hash_maps(t.index)
-    return maps.select("project", F.size("file_hashes").alias("n"),
-                       text.sha256(F.concat_ws(";", F.transform(
-                           F.array_sort(F.map_entries("file_hashes")),
-                           lambda e: F.concat_ws("=", e.key, e.value)))).alias("digest"))
+    return snapshots.path_hashes(t.index)
 
 
 @query("agg_8_violation_counts")
@@ -587,7 +583,8 @@ def _(t):
 
 @query("win_1_cap_files")
 def _(t):
-    return corpus.cap_files(corpus.candidates(t.paths, "solidity"), fv.SOLIDITY_MAX_FILES).select("project", "path")
+    return corpus.tag_limit(corpus.candidates(t.paths, "solidity"), fv.SOLIDITY_MAX_FILES).select(
+        "project", "path", "beyond_limit")
 
 
 @query("win_2_finding_numbers")

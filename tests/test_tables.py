@@ -27,9 +27,9 @@ def test_nth_smallest(spark):
 
 def test_cap_is_exact_and_lexicographic(spark):
     rows = spark.createDataFrame([("p", f"f{i}.js") for i in range(25)] + [("q", "a.js")], "project string, path string")
-    kept = [r.path for r in corpus.cap_files(rows, 3).where("project = 'p'").collect()]
+    kept = [r.path for r in corpus.tag_limit(rows, 3).where("project = 'p' AND NOT beyond_limit").collect()]
     assert sorted(kept) == ["f0.js", "f1.js", "f10.js"]
-    assert corpus.cap_files(rows, 3).where("project = 'q'").count() == 1
+    assert corpus.tag_limit(rows, 3).where("project = 'q' AND NOT beyond_limit").count() == 1
 
 
 def test_index_and_hashes(spark):
