@@ -18,6 +18,14 @@ def _quoted(q: str) -> str:
 C_TOKENS = (
     "(?s)" + "|".join(_quoted(q) for q in ('"', "'", "`")) + r"|//[^\n]*+|/\*.*?\*/|[^\"'`/]++|."
 )
+#: The same for matching code: a quoted literal ends with its line, so an apostrophe in markup hides nothing,
+#: and a regex literal is one token.  A slash starts one only where an operand is expected.
+CODE_TOKENS = (
+    "(?s)" + "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in ('"', "'")) + "|" + _quoted("`")
+    + r"|//[^\n]*+|/\*.*?\*/"
+    + r"|(?<=[(,=:\[!&|?;{}]\s{0,2})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+    + r"|[^\"'`/]++|."
+)
 PY_TOKENS = (
     r'(?s)""".*?"""|' + r"'''.*?'''|" + _quoted('"') + "|" + _quoted("'") + r"|#[^\n]*+|[^\"'#]++|."
 )

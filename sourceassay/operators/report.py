@@ -47,37 +47,43 @@ def owner_rollup(findings: DataFrame) -> DataFrame:
 def summary_lines(counts: DataFrame, status: Column | None = None, label: str = "Audit") -> DataFrame:
     """One line of text per report."""
     status = F.coalesce(status if status is not None else F.lit(None).cast("string"), F.lit("OK"))
+    numbers = [F.coalesce(c, F.lit(0)) for c in ("total_findings", "critical", "high", "medium", "low")]
     return counts.select("project", F.format_string(
-        label + " status: %s. Findings: total=%d, critical=%d, high=%d, medium=%d, low=%d.",
-        status, "total_findings", "critical", "high", "medium", "low").alias("summary"))
+        label + " status: %s. Findings: total=%d, critical=%d, high=%d, medium=%d, low=%d.", status, *numbers).alias("summary"))
 
 
 def reports(report: DataFrame, manifests: DataFrame, as_of: Column) -> DataFrame:
-    """Nested report per manifest.  Give it rows of valid manifests only."""
+    """Nested report per manifest, also of those without findings.
+
+    Give it rows and manifests of valid payloads only; ``audit_outcomes`` tells which of them the server refused.
+    """
     nested = report.groupBy("project").agg(
         F.array_sort(F.collect_list(F.struct("idx", F.struct(
             "id", "file_path", "line_start", "line_end", "vulnerability_class", "severity",
             "description", "patch", "explanation").alias("finding")))).alias("rows")
     ).select("project", F.col("rows.finding").alias("findings"))
     counts = severity_counts(report)
+    def known(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).alias(name)
     return (
-        nested.join(counts, "project").join(manifests.select("project", "project_hash"), "project")
+        manifests.select("project", "project_hash").join(nested, "project", "left").join(counts, "project", "left")
         .select("project", "project_hash", as_of.alias("scan_time"),
-                F.struct("total_findings", "critical", "high", "medium", "low").alias("summary"),
-                "findings")
+                F.when(F.col("findings").isNull(), "NO_FINDINGS").otherwise("OK").alias("status"),
+                F.struct(*map(known, ("total_findings", "critical", "high", "medium", "low"))).alias("summary"),
+                F.coalesce("findings", F.array()).alias("findings"))
     )
 
 
 def report_json(nested: DataFrame) -> DataFrame:
     """One JSON document per manifest; nulls are written out."""
-    document = F.struct("project_hash", "scan_time", "summary", "findings")
+    document = F.struct("project_hash", "scan_time", "status", "summary", "findings")
     return nested.select("project", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_reports(nested: DataFrame, path: str) -> None:
-    document = F.to_json(F.struct("project_hash", "scan_time", "summary", "findings"),
-                         {"ignoreNullFields": "false", "pretty": "true"})
-    nested.select("project_hash", document.alias("json")).write.mode("overwrite").parquet(path)
+    """JSON documents, one a line, in a folder per project hash."""
+    report_json(nested.withColumn("project", F.col("project_hash"))).withColumnsRenamed(
+        {"project": "project_hash", "json": "value"}).write.mode("overwrite").partitionBy("project_hash").text(path)
 
 
 def applicable_patches(report: DataFrame, files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from sourceassay.operators import rules, structure
 
 #: kind -> (pattern, group of the target, group of the operator)
 NODE_PATTERNS = {
-    "validation": (r"\bif\s*\(\s*!?\s*([\w$.]+)\s*([<>=!]=*)?|^(?:require|assert)\s*\(\s*([\w$.]+)", 1, 2),
+    "validation": (r"(?:\bif\s*\(|^(?:require|assert)\s*\()\s*!?\s*([\w$.]+)\s*([<>=!]=*)?", 1, 2),
     "auth": (r"\bif\s*\(.*\b(?:session|isOwner|isAdmin|role|authorized)\b"
              r"|\b(?:authorize|authenticate|requireAuth|checkAuth)\w*\s*\(|^require\s*\(", 0, None),
     "ownership": (r"\bif\s*\(.*?([\w$]+)\.(?:ownerId|owner|userId|user)\s*[!=]==?", 1, None),
@@ -54,13 +54,18 @@ def _nodes_of(text: Column) -> Column:
     return F.array_compact(F.array(*[node(k) for k in NODE_PATTERNS]))
 
 
-def fn_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of every function of the script files, in source order."""
+def worth_matching(files: DataFrame) -> DataFrame:
+    """Files that hold a word without which no signature can match."""
     content = F.col("content")
     worded = F.contains(content, F.lit(_WORDS[0]))
     for w in _WORDS[1:]:
         worded = worded | F.contains(content, F.lit(w))
-    possible = files.where(F.col("language").isin(*rules.SCRIPT) & worded)
+    return files.where(worded)
+
+
+def fn_nodes(files: DataFrame) -> DataFrame:
+    """Nodes of every function of the script files, in source order."""
+    possible = files.where(F.col("language").isin(*rules.SCRIPT))
     tagged = (
         structure.exploded_parts(
             structure.with_blocks(possible), "project", "path", "language", "blocks",
@@ -70,8 +75,8 @@ def fn_nodes(files: DataFrame) -> DataFrame:
         .where(F.col("node").isNotNull())
         .withColumn("line", structure.piece_line(F.col("part")))
     )
-    name = F.regexp_extract(
-        "fn.header", r"\bfunction\s*\*?\s*([\w$]+)|([\w$]+)\s*(?:=|:)\s*(?:async\s*)?\(", 1)
+    named = r"\bfunction\s*\*?\s*([\w$]+)|([\w$]+)\s*(?:=|:)\s*(?:async\s*)?\("
+    name = F.concat(F.regexp_extract("fn.header", named, 1), F.regexp_extract("fn.header", named, 2))  # one of them is empty
     return structure.with_scope(tagged).where(F.col("fn").isNotNull()).select(
         "project", "path", F.col("fn.open_seq").alias("fn_seq"), name.alias("fn"),
         "seq", "line", "node.kind", "node.target", "node.op", F.col("text").alias("args"),

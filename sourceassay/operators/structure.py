@@ -72,9 +72,9 @@ def code_text(content: Column, language: Column) -> Column:
     clean = F.when(content.rlike(f"[{marks}]"), F.translate(content, marks, " " * len(marks))
                    ).otherwise(content)
     c_like = F.transform(
-        tx.tokens(clean, tx.C_TOKENS),
+        tx.tokens(clean, tx.CODE_TOKENS),
         lambda t: F.when(starts(t, "//", "/*"), blank(t))
-        .when(starts(t, '"', "'", "`"), held(t))
+        .when(starts(t, '"', "'", "`") | (starts(t, "/") & (F.length(t) > 1)), held(t))
         .otherwise(t),
     )
     python = F.transform(

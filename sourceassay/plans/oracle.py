@@ -489,15 +489,16 @@ add("agg_9_markdown", f"""
     FROM (SELECT project, {_HEAD_TEXT} AS head FROM vreport GROUP BY project) h
     LEFT JOIN (SELECT project, string_agg('| ' || id || ' | ' || severity || ' | `' || file_path || '` | ' || vulnerability_class || ' |',
       chr(10) ORDER BY idx) AS rows FROM vreport WHERE patch <> '' GROUP BY project) t USING (project)""")
-add("agg_10_summary_line", "SELECT project, 'Audit status: OK. Findings: total=' || count(*) || "
+_OUTCOME = f"""SELECT project, CASE WHEN {demo_findings.FAILURES['parse']} THEN 'PARSE_ERROR' WHEN {demo_findings.FAILURES['index']} THEN 'INDEX_INVALID'
+        WHEN project IN (SELECT project FROM badb) THEN 'MANIFEST_INVALID' WHEN n = 0 THEN 'NO_FINDINGS'
+        WHEN m % 9 = 0 THEN 'AUDIT_FAILURE' WHEN m % 9 = 1 THEN 'CREDIT_EXHAUSTED' ELSE 'OK' END AS outcome FROM heads"""
+add("agg_10_summary_line", "SELECT o.project, 'Audit status: ' || any_value(outcome) || '. Findings: total=' || count(f.project) || "
     + " || ".join(f"', {s.lower()}=' || count(*) FILTER (WHERE severity = '{s}')" for s in fv.SEVERITIES)
-    + " || '.' AS summary FROM findings GROUP BY project")
+    + f" || '.' AS summary FROM ({_OUTCOME}) o LEFT JOIN findings f USING (project) GROUP BY o.project")
 add("agg_11_audit_outcomes", f"""
     SELECT project, outcome, CASE WHEN outcome IN ('PARSE_ERROR', 'INDEX_INVALID', 'MANIFEST_INVALID') THEN 1
         WHEN outcome = 'AUDIT_FAILURE' THEN 2 ELSE 0 END AS exit_code
-    FROM (SELECT project, CASE WHEN {demo_findings.FAILURES['parse']} THEN 'PARSE_ERROR' WHEN {demo_findings.FAILURES['index']} THEN 'INDEX_INVALID'
-        WHEN project IN (SELECT project FROM badb) THEN 'MANIFEST_INVALID' WHEN n = 0 THEN 'NO_FINDINGS'
-        WHEN m % 9 = 0 THEN 'AUDIT_FAILURE' WHEN m % 9 = 1 THEN 'CREDIT_EXHAUSTED' ELSE 'OK' END AS outcome FROM heads)""")
+    FROM ({_OUTCOME})""")
 add("agg_12_owner_rollup", f"SELECT owner, project, count(*) AS total_findings, {_LEVELS} FROM findings GROUP BY ROLLUP (owner, project)")
 
 # --- windows, sorts, limits, set operations -------------------------------------------------------------
@@ -798,13 +799,14 @@ add("set_2_merge_findings", f"""
 # --- sinks ---------------------------------------------------------------------------------------------------------
 
 add("snk_1_report_json", """
-    SELECT r.project, to_json({'project_hash': any_value(h.project_hash), 'scan_time': '2024-05-01T00:00:00Z',
-      'summary': {'total_findings': count(*), 'critical': count(*) FILTER (WHERE severity = 'CRITICAL'),
+    SELECT h.project, to_json({'project_hash': any_value(h.project_hash), 'scan_time': '2024-05-01T00:00:00Z',
+      'status': CASE WHEN count(r.project) = 0 THEN 'NO_FINDINGS' ELSE 'OK' END,
+      'summary': {'total_findings': count(r.project), 'critical': count(*) FILTER (WHERE severity = 'CRITICAL'),
         'high': count(*) FILTER (WHERE severity = 'HIGH'), 'medium': count(*) FILTER (WHERE severity = 'MEDIUM'),
         'low': count(*) FILTER (WHERE severity = 'LOW')},
-      'findings': list({'id': id, 'file_path': file_path, 'line_start': line_start, 'line_end': line_end,
+      'findings': coalesce(list({'id': id, 'file_path': file_path, 'line_start': line_start, 'line_end': line_end,
         'vulnerability_class': vulnerability_class, 'severity': severity, 'description': description, 'patch': patch,
-        'explanation': explanation} ORDER BY idx)})::VARCHAR AS json
-    FROM vreport r JOIN manifests h USING (project) GROUP BY r.project""")
+        'explanation': explanation} ORDER BY idx) FILTER (WHERE r.project IS NOT NULL), [])})::VARCHAR AS json
+    FROM manifests h LEFT JOIN vreport r ON r.project = h.project WHERE h.project NOT IN (SELECT project FROM badb) GROUP BY h.project""")
 add("snk_2_snapshot", "SELECT project, sha256(project) AS project_hash, path, sha256(stripped) AS hash FROM norm")
 add("snk_3_suggestions", "SELECT code_project AS project, file_path || '.suggestion-' || id || '.txt' AS suggestion_path, patch FROM applicable")

@@ -560,18 +560,22 @@ def _(t):
     return report.markdown_body(rows, rows.where(F.col("patch") != ""))
 
 
+def _outcomes(t: Tables) -> DataFrame:
+    heads = t.manifests
+    b = contracts.check_contract_b(heads, t.findings).where(F.col("level") == "ERROR")
+    return report.audit_outcomes(
+        heads, heads.where(demo_findings.FAILURES["parse"]), heads.where(demo_findings.FAILURES["index"]),
+        b, report.severity_counts(t.findings), heads.selectExpr("project", demo_findings.STATUS))
+
+
 @query("agg_10_summary_line")
 def _(t):
-    return report.summary_lines(report.severity_counts(t.findings))
+    return report.summary_lines(_outcomes(t).join(report.severity_counts(t.findings), "project", "left"), F.col("outcome"))
 
 
 @query("agg_11_audit_outcomes")
 def _(t):
-    heads = t.manifests
-    b = contracts.check_contract_b(heads, t.findings).where(F.col("level") == "ERROR")
-    return report.audit_outcomes(
-        heads, heads.where(demo_findings.FAILURES["parse"]), heads.where(demo_findings.FAILURES["index"]),
-        b, report.severity_counts(t.findings), heads.selectExpr("project", demo_findings.STATUS))
+    return _outcomes(t)
 
 
 @query("agg_12_owner_rollup")
@@ -765,7 +769,7 @@ _WEB3_SIGNATURES = ("REENTRANCY", "TX_ORIGIN_ABUSE", "ARITHMETIC_OVERFLOW", "FLA
 def _signature(number: int, name: str) -> None:
     @query(f"sig_{number}_{name.lower()}")
     def _(t):
-        found = signatures.match_signatures(signatures.fn_nodes(t.script))
+        found = signatures.match_signatures(signatures.fn_nodes(signatures.worth_matching(t.script)))
         return found.where(F.col("vulnerability_class") == name).drop("snippet")
 
 
@@ -797,7 +801,8 @@ def _(t):
 @query("snk_1_report_json")
 def _(t):
     rows = report.build_report(t.valid, t.patches)
-    return report.report_json(report.reports(rows, t.manifests, F.lit(AS_OF)))
+    accepted = contracts.valid_rows(t.manifests, contracts.check_contract_b(t.manifests, t.findings))
+    return report.report_json(report.reports(rows, accepted, F.lit(AS_OF)))
 
 
 @query("snk_2_snapshot")
