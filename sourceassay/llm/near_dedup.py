@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import settle
+from sourceassay.llm.store import settle, slices
 from sourceassay.llm.words import NON_SPACE, mix, shingle_set, word_hashes
 
 BINS, ROWS = 255, 5
@@ -30,6 +30,8 @@ BANDS = BINS // ROWS
 WIDTH, LEAST = 2, 80
 #: Nodes of a block when a bucket is looked at again.
 BLOCK = 512
+#: Bytes of texts, signatures or sets that a task holds as Python objects at once (plus one row).
+SLICE_BYTES = 4 << 20
 #: Bytes up to which a written table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -82,7 +84,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 def _signed(width: int, at: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, SLICE_BYTES)):
             size, digest, keys = [], [], []
             for text in batch.column(at).to_pylist():
                 s = shingle_set(word_hashes(text, NON_SPACE), width)
@@ -98,11 +100,11 @@ def _signed(width: int, at: int):
 
 
 def _sets(width: int):
-    """From ``doc_id, text``: digest, size, signature (32 bits a bin) and set."""
+    """From ``doc_id, text``: digest, size, signature (16 bits a bin) and set."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, SLICE_BYTES)):
             found = [shingle_set(word_hashes(t, NON_SPACE), width) for t in batch.column(1).to_pylist()]
-            sigs = [signature(s).astype(np.uint32).tobytes() if len(s) else b"" for s in found]
+            sigs = [signature(s).astype(np.uint16).tobytes() if len(s) else b"" for s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([_digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
                  pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
@@ -113,12 +115,12 @@ def _sets(width: int):
 def _likely_pairs(least: int):
     """Keep the pairs (a, b, size_a, sig_a, size_b, sig_b) that the signatures and sizes allow."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 3, SLICE_BYTES)):
             a, b, na, sa, nb, sb = (c.to_pylist() for c in batch.columns)
             keep = []
             for k in range(len(a)):
                 small, large = min(na[k], nb[k]), max(na[k], nb[k])
-                agree = np.mean(np.frombuffer(sa[k], np.uint32) == np.frombuffer(sb[k], np.uint32))
+                agree = np.mean(np.frombuffer(sa[k], np.uint16) == np.frombuffer(sb[k], np.uint16))
                 if 100 * small >= least * large and likely(agree, small, least):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -132,7 +134,7 @@ def _linked(x: int, y: int, common, least: int):
 def _confirmed(least: int):
     """Keep the pairs (a, b, set_a, set_b) whose full sets are similar enough."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2, SLICE_BYTES)):
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -149,22 +151,44 @@ def _sides(table: pa.Table):
     return np.array(rest, np.int64), np.array(other or rest, np.int64)
 
 
+class _Joined:
+    """Disjoint sets of whatever is looked up."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def top(self, x):
+        while self.above.setdefault(x, x) != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether ``x`` and ``y`` were apart."""
+        x, y = self.top(x), self.top(y)
+        self.above[x] = y
+        return x != y
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def _block_likely(least: int):
-    """Of two blocks of a bucket (node, component, size, sig) the nodes with a likely partner in another component."""
+    """Edges that hold together what the signatures of two blocks (node, component, size, sig) make likely between components."""
     def of(table: pa.Table) -> pa.Table:
-        sigs = np.stack([np.frombuffer(s, np.uint32) for s in table.column("payload").to_pylist()])
+        sigs = np.stack([np.frombuffer(s, np.uint16) for s in table.column("payload").to_pylist()])
         size, comp = np.array(table.column("size").to_pylist()), np.array(table.column("component").to_pylist())
+        node = table.column("node").to_pylist()
         left, right = _sides(table)
-        hit = np.zeros(len(size), bool)
+        joined, found = _Joined(), []
         for x in left:
             y = right[comp[right] != comp[x]]
             small, large = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
             y, small = y[100 * small >= least * large], small[100 * small >= least * large]
             if len(y):
                 ok = likely((sigs[y] == sigs[x]).mean(axis=1), small, least)
-                hit[y[ok]] = True
-                hit[x] |= ok.any()
-        return pa.table({"key": table.column("key").filter(pa.array(hit)), "node": table.column("node").filter(pa.array(hit))})
+                found += [(node[x], node[k]) for k in y[ok] if joined.join(node[x], node[k])]
+        return _edges(found)
     return of
 
 
@@ -175,27 +199,18 @@ def _block_links(least: int):
         node, size = table.column("node").to_pylist(), np.array(table.column("size").to_pylist())
         left, right = _sides(table)
         comp = table.column("component").to_pylist()
-        group = {c: c for c in comp}
-
-        def top(c):
-            while group[c] != c:
-                c = group[c]
-            return c
+        joined, links = _Joined(), []
         owner = np.repeat(np.arange(len(right)), size[right])
         values = np.concatenate([sets[k] for k in right])
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
-        links = []
         for x in left:
             low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
             count = high - low
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
             common = np.bincount(owner[at], minlength=len(right))
-            for y in right[_linked(size[x], size[right], common, least)]:
-                if top(comp[x]) != top(comp[y]):
-                    group[top(comp[x])] = top(comp[y])
-                    links.append((min(node[x], node[y]), max(node[x], node[y])))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+            links += [(node[x], node[y]) for y in right[_linked(size[x], size[right], common, least)] if joined.join(comp[x], comp[y])]
+        return _edges(links)
     return of
 
 
@@ -294,11 +309,14 @@ def _links(docs: DataFrame, base: DataFrame, nodes: DataFrame, width: int, least
     if open_.isEmpty():
         return found
     blocks = _blocks(open_.join(sets.select("node", "size", "sig"), "node"), "sig")
-    hits = blocks.groupBy("key", "x", "y").applyInArrow(_block_likely(least), "key long, node long").distinct()
-    hits = settle(hits, "hits")
-    if hits.isEmpty():
+    likely_ = blocks.groupBy("key", "x", "y").applyInArrow(_block_likely(least), "a long, b long").distinct()
+    likely_ = settle(likely_, "likely")
+    if likely_.isEmpty():
         return found
-    blocks = _blocks(open_.join(hits, ["key", "node"], "left_semi").join(sets.select("node", "size", "members"), "node"), "members")
+    # A node may be likely in many buckets; its set is moved for its family alone.
+    family = components(likely_).withColumnRenamed("component", "key")
+    rows = family.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = _blocks(rows.join(sets.select("node", "size", "members"), "node"), "members")
     more = blocks.groupBy("key", "x", "y").applyInArrow(_block_links(least), "a long, b long").distinct()
     return components(links.unionByName(more))
 
