@@ -1,7 +1,7 @@
 """Operator 8, personal data: information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns find the protected entities (mail addresses, network addresses, card and phone numbers).  Blanking them is not enough when
-words around them give them away, so the corpus is asked: over distinct texts, a term t near an entity c
+words around them give them away, so the corpus is asked: over all rows, a term t near an entity c
 discloses ``PMI(c, t) / IC(c)`` of it, with ``PMI = log2(n(c,t) N / (n(c) n(t)))`` and ``IC = log2(N / n(c))``.
 Terms that disclose everything are removed, terms above a threshold are generalised, in the texts that hold the entity.
 
@@ -119,24 +119,33 @@ def _small(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFram
 
 
 def _disclosing(docs: DataFrame, base: DataFrame, support: int, generalise: float) -> DataFrame | None:
-    """``entity, term, share`` of the terms that give an entity away; None if there are none to ask about."""
-    near = base.select("digest", F.explode("spans").alias("s")).select("digest", "s.entity", "s.terms")
+    """``entity, term, share`` of the terms that give an entity away; None if there are none to ask about.
+
+    Counts are of rows; an entity and a pair need ``support`` distinct texts besides, so copies alone prove nothing.
+    """
+    near = (base.where(F.size("spans") > 0).groupBy("digest").agg(F.count("*").alias("m"), F.first("spans").alias("spans"))
+            .select("digest", "m", F.explode("spans").alias("s")).select("digest", "m", "s.entity", "s.terms"))
     near = settle(near, "contexts")
-    entities = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    pairs = (near.select("entity", "digest", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support).join(entities, "entity"))
+    rows = base.count()
+
+    def counted(what: DataFrame, by: list[str], n: str) -> DataFrame:
+        return what.select(*by, "digest", "m").distinct().groupBy(*by).agg(F.sum("m").alias(n), F.count("*").alias("texts"))
+    entities = counted(near, ["entity"], "n_c").where(F.col("texts") >= support).drop("texts")
+    terms = near.select("entity", "digest", "m", F.explode("terms").alias("term"))
+    pairs = counted(terms, ["entity", "term"], "n_ct").where(F.col("texts") >= support).drop("texts").join(entities, "entity").where(F.col("n_c") < rows)
+    # The most rows that may hold the term; those near any entity are a lower bound, which spares asking about common words.
+    most = F.col("n_ct") * F.pow(F.lit(float(rows)) / F.col("n_c"), F.lit(1 - generalise))
+    pairs = pairs.join(counted(terms, ["term"], "n_near").drop("texts"), "term").where(F.col("n_near") <= most * (1 + 1e-9))
     pairs = settle(pairs, "pairs")
     if pairs.isEmpty():
         return None
     asked = _small(settle(pairs.select("term").distinct(), "terms"), "term")
-    # How many distinct texts hold a term at all; only the asked terms leave the map side.
-    words = docs.where("text is not null").select(F.md5("text").alias("digest"), F.explode(F.array_distinct(F.split(F.lower("text"), _BETWEEN))).alias("term"))
-    counts = words.join(asked, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    texts = base.agg(F.count_distinct("digest")).first()[0]
+    # How many rows hold a term at all; only the asked terms are counted, and counted before they are moved.
+    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), _BETWEEN))).alias("term"))
+    counts = words.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     # A context can only be a part of the texts that hold the term.
-    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log2(F.lit(float(texts)) / F.col("n_c"))
-    return (pairs.join(counts, "term").where(F.col("n_c") < texts).withColumn("share", share)
-            .where(F.col("share") >= generalise).select("entity", "term", "share"))
+    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log2(F.lit(float(rows)) / F.col("n_c"))
+    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
 def _term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame, remove: float) -> DataFrame:
