@@ -1,6 +1,6 @@
 """Operator 1, benchmark decontamination: an FM-index per training shard.
 
-A task reads its documents in shards of a few megabytes.  The words of a shard become symbols of the
+A task reads its documents in shards of some megabytes.  The words of a shard become symbols of the
 vocabulary of the searched phrases; a word outside it can't be part of an occurrence, so it only
 separates.  Over the runs long enough to hold a phrase an FM-index is built; all phrases are searched backward
 through wavelet ranks, occurrences are located by sampled suffix positions, and the spans of a document are merged.
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceassay.llm.fm_index import FMIndex
-from sourceassay.llm.store import free_name
+from sourceassay.llm.store import free_name, slices
 from sourceassay.llm.words import ALNUM, word_list
 
 #: Bytes of phrases in one block (on the driver and in each task), and of text in one shard (plus one document).
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 #: Words as in ``word_list``, as code points.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LEAK = "struct<n_words:long,items:array<string>,spans:array<struct<start:long,end:long>>>"
@@ -123,18 +123,10 @@ def _searcher(phrases, text_at: int, leak_at: int):
                       ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            earlier = batch.column(leak_at).to_pylist()
-            leaks, shard, size = [], [], 0
-            for k, text in enumerate(texts):
-                shard.append(text)
-                size += len(text or "")
-                if size >= SHARD_BYTES or k == len(texts) - 1:
-                    leaks += search(shard, phrases.value)
-                    shard, size = [], 0
+        for batch in (shard for b in batches for shard in slices(b, text_at, SHARD_BYTES)):
+            leaks = search(batch.column(text_at).to_pylist(), phrases.value)
             rows = []
-            for (n, items, spans), old in zip(leaks, earlier):
+            for (n, items, spans), old in zip(leaks, batch.column(leak_at).to_pylist()):
                 if old is not None:
                     items = items | set(old["items"])
                     spans = merge_spans(spans + [(s["start"], s["end"]) for s in old["spans"]])

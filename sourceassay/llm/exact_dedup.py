@@ -19,15 +19,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceassay.llm.store import settle
+from sourceassay.llm.store import settle, slices
 
+#: Bytes of text that a task holds as Python objects at once (plus one text).
+SLICE_BYTES = 4 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
 def _digests(at: int):
     """Replace the binary column ``at`` by the SHA-256 of its bytes without spaces."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, SLICE_BYTES)):
             found = [hashlib.sha256(b.translate(None, _SPACES)).digest() for b in batch.column(at).to_pylist()]
             columns = batch.columns
             columns[at] = pa.array(found, pa.binary())

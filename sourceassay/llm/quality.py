@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import free_name
+from sourceassay.llm.store import free_name, slices
 from sourceassay.llm.training import labelled_sample, remainder
 
 #: Bytes a filter moves at once, steps it covers, learned channels of a byte, filters, steps of a chunk and between two chunks' starts.
@@ -188,15 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None, most_rows: int = T
 def _scorer(model, at: int):
     def run(batches):
         net = model.value
-        for batch in batches:
-            scores, texts, size = [], [], 0
-            column = batch.column(at).to_pylist()
-            for k, text in enumerate(column):
-                texts.append((text or "").encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES or k == len(column) - 1:
-                    scores += probabilities(net, texts).tolist() if net else [1.0] * len(texts)
-                    texts, size = [], 0
+        for batch in (part for b in batches for part in slices(b, at, BLOCK_BYTES)):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
+            scores = probabilities(net, texts) if net else np.ones(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
     return run
 
