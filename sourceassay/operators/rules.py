@@ -334,16 +334,17 @@ def tagged_statements(files: DataFrame, catalogue: tuple[Rule, ...] = CATALOGUE)
                 *[F.col("content").rlike(p).alias(n) for n, p in marks.items()])
     )
     text = F.col("text")
-    keep = ("project", "path", "language", "worded", "blocks", *marks)
+    keep = ("project", "path", "language", "worded", *marks)
     events = _statement_events(catalogue, text)
-    triggered = F.lit(False)
-    for languages, trigger in TRIGGERS.items():
-        triggered = triggered | (F.col("language").isin(*languages) & F.col("part").rlike(trigger))
+
+    def triggered(part: Column) -> Column:
+        tests = [F.col("language").isin(*languages) & part.rlike(t) for languages, t in TRIGGERS.items()]
+        return reduce(lambda a, b: a | b, tests)
     # The generator comes before any filter on the events, so the patterns run once.
     tagged = (
         structure.exploded_parts(
             structure.with_blocks(possible, "worded", *marks), *keep, wanted=triggered)
-        .select("project", "path", "language", "blocks", *marks, "seq", "part", "text",
+        .select("project", "path", "language", "inside", *marks, "seq", "part", "text",
                 F.explode_outer(events).alias("e"))
         .where(F.col("e").isNotNull())
         .withColumn("line", structure.piece_line(F.col("part")))

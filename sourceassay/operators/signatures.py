@@ -68,9 +68,9 @@ def fn_nodes(files: DataFrame) -> DataFrame:
     possible = files.where(F.col("language").isin(*rules.SCRIPT))
     tagged = (
         structure.exploded_parts(
-            structure.with_blocks(possible), "project", "path", "language", "blocks",
-            wanted=F.col("part").rlike(_TRIGGER))
-        .select("project", "path", "language", "blocks", "seq", "text", "part",
+            structure.with_blocks(possible), "project", "path", "language",
+            wanted=lambda part: part.rlike(_TRIGGER))
+        .select("project", "path", "language", "inside", "seq", "text", "part",
                 F.explode_outer(_nodes_of(F.col("text"))).alias("node"))
         .where(F.col("node").isNotNull())
         .withColumn("line", structure.piece_line(F.col("part")))

@@ -156,8 +156,11 @@ def piece_last_line(piece: Column) -> Column:
     return F.regexp_extract(piece, rf"(?s).*{_MARK}", 1).cast("int")
 
 
-_BLOCK = "struct<open_seq:int,close_seq:int,line_start:int,line_end:int,header:string,is_function:boolean>"
-_OPEN = "struct<seq:int,indent:int,line:int,header:string,is_function:boolean>"
+_BLOCK = ("struct<open_seq:int,close_seq:int,line_start:int,line_end:int,header:string,is_function:boolean,"
+          "parent:int,depth:int>")
+_OPEN = "struct<seq:int,indent:int,line:int,header:string,is_function:boolean,nth:int,parent:int,depth:int>"
+#: Blocks gathered before they are added to the rest in one go, so that a fold doesn't copy all blocks at each step.
+_CHUNK = 256
 
 
 def _block_events(parts: Column, language: Column) -> Column:
@@ -193,16 +196,23 @@ def _block_events(parts: Column, language: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once; lambdas do not share subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blocks(parts: Column, language: Column) -> Column:
-    """Blocks of a file as an array: opening and closing statement, lines, header.
+    """Blocks of a file in the order they open: opening and closing statement, lines, header, parent and depth.
 
-    One pass with a stack.  A closing brace ends the newest open block; in Python
-    a statement ends every block that is indented as deep or deeper.
+    ``parent`` is the place of the surrounding block in this array, or -1.  One pass with a stack.  A closing
+    brace ends the newest open block; in Python a statement ends every block that is indented as deep or deeper.
     """
-    none_open = F.array().cast(f"array<{_OPEN}>")
+    none = F.array().cast(f"array<{_BLOCK}>")
     start = F.struct(
-        none_open.alias("stack"),
-        F.array().cast(f"array<{_BLOCK}>").alias("out"),
+        F.array().cast(f"array<{_OPEN}>").alias("stack"),
+        none.alias("chunk"),
+        F.array().cast(f"array<array<{_BLOCK}>>").alias("out"),
+        F.lit(0).alias("opened"),
         F.lit(0).alias("seq"),
         F.lit(0).alias("line"),
     )
@@ -213,7 +223,7 @@ def blocks(parts: Column, language: Column) -> Column:
             lambda o: F.struct(
                 o.seq.alias("open_seq"), seq.alias("close_seq"), o.line.alias("line_start"),
                 line.alias("line_end"), o.header.alias("header"),
-                o.is_function.alias("is_function"),
+                o.is_function.alias("is_function"), o.parent.alias("parent"), o.depth.alias("depth"),
             ),
         )
 
@@ -233,30 +243,38 @@ def blocks(parts: Column, language: Column) -> Column:
         )
         opened = F.array(
             F.struct(e.seq.alias("seq"), e.indent.alias("indent"), e.line.alias("line"),
-                     e.header.alias("header"), e.is_function.alias("is_function"))
-        )
-        return F.struct(
-            F.when(e.opens, F.concat(F.slice(stack, F.lit(1), keep), opened))
-            .otherwise(F.slice(stack, F.lit(1), keep)).alias("stack"),
-            F.when(keep < depth, F.concat(acc.out, ended)).otherwise(acc.out).alias("out"),
-            e.seq.alias("seq"),
-            e.last_line.alias("line"),
+                     e.header.alias("header"), e.is_function.alias("is_function"), acc.opened.alias("nth"),
+                     F.coalesce(F.get(stack, keep - 1)["nth"], F.lit(-1)).alias("parent"), (keep + 1).alias("depth"))
         )
 
+        def gathered(chunk: Column) -> Column:
+            full = F.size(chunk) >= _CHUNK
+            return F.struct(
+                F.when(e.opens, F.concat(F.slice(stack, F.lit(1), keep), opened))
+                .otherwise(F.slice(stack, F.lit(1), keep)).alias("stack"),
+                F.when(full, none).otherwise(chunk).alias("chunk"),
+                F.when(full, F.concat(acc.out, F.array(chunk))).otherwise(acc.out).alias("out"),
+                F.when(e.opens, acc.opened + 1).otherwise(acc.opened).alias("opened"),
+                e.seq.alias("seq"),
+                e.last_line.alias("line"),
+            )
+        return _let(F.when(keep < depth, F.concat(acc.chunk, ended)).otherwise(acc.chunk), gathered)
+
     last = F.get(parts, F.size(parts) - 1)
-    return F.aggregate(
+    return F.array_sort(F.aggregate(
         _block_events(parts, language),
         start,
         step,
         lambda acc: F.concat(
-            acc.out,
+            F.flatten(acc.out),
+            acc.chunk,
             close(
                 acc.stack,
                 F.when(language == "py", acc.seq).otherwise(F.size(parts) - 1),
                 F.when(language == "py", acc.line).otherwise(piece_last_line(last)),
             ),
         ),
-    )
+    ))
 
 
 def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
@@ -268,25 +286,43 @@ def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def exploded_parts(rows: DataFrame, *keep: str, wanted: Column | None = None) -> DataFrame:
+def exploded_parts(
+    rows: DataFrame, *keep: str, wanted: Callable[[Column], Column] | None = None, scoped: bool = True
+) -> DataFrame:
     """One row per raw statement (``part``) with its ``text``.
 
-    ``wanted`` is a cheap test over ``part``; the others are dropped before their
-    text is put together.
+    ``wanted`` is a cheap test of a part; the others are dropped before their
+    text is put together.  With ``scoped``, each row has the blocks it lies in (``inside``) and the last line of the block it
+    opens (``own_end``), looked up inside the file's row: the blocks of the file never go along.
     """
+    parts = F.transform("parts", lambda p, i: F.struct(i.alias("seq"), p.alias("part")))
+    if wanted is not None:
+        parts = F.filter(parts, lambda s: wanted(s["part"]))
+    if scoped:
+        blocks_col = F.col("blocks")
+        parts = F.transform(parts, lambda s: F.struct(
+            s["seq"].alias("seq"), s["part"].alias("part"), enclosing(blocks_col, s["seq"]).alias("inside"),
+            own_end(blocks_col, s["seq"]).alias("own_end")))
     return (
-        rows.select(*keep, F.posexplode_outer("parts").alias("seq", "part"))
-        .where(F.col("part").isNotNull() if wanted is None else wanted)
+        rows.select(*keep, F.explode_outer(parts).alias("s"))
+        .where(F.col("s").isNotNull())
+        .select(*keep, "s.*")
         .withColumn("text", piece_text(F.col("part")))
     )
 
 
-def statements(files: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """One row per statement; ``blocks`` of its file comes along for later look-ups."""
-    keep = ("project", "path", "language", "blocks")
-    return exploded_parts(with_blocks(files), *keep, wanted=wanted).select(
+def statements(
+    files: DataFrame, wanted: Callable[[Column], Column] | None = None, scoped: bool = False
+) -> DataFrame:
+    """One row per statement, with its place among the blocks if asked."""
+    if scoped:
+        rows, scope = with_blocks(files), ("inside", "own_end")
+    else:
+        content, language = F.col("content"), F.col("language")
+        rows, scope = files.select("project", "path", "language", pieces(content, language).alias("parts")), ()
+    return exploded_parts(rows, "project", "path", "language", wanted=wanted, scoped=scoped).select(
         "project", "path", "language", "seq", piece_line(F.col("part")).alias("line"),
-        piece_last_line(F.col("part")).alias("last_line"), "text", "blocks")
+        piece_last_line(F.col("part")).alias("last_line"), "text", *scope)
 
 
 def is_function(header: Column, language: Column) -> Column:
@@ -306,21 +342,48 @@ def is_function(header: Column, language: Column) -> Column:
     )
 
 
-def enclosing(blocks_col: Column, seq: Column) -> Column:
-    """Blocks a statement lies in (its own header is outside)."""
-    return F.filter(blocks_col, lambda b: (b.open_seq < seq) & (seq <= b.close_seq))
+def _opened_before(blocks_col: Column, seq: Column) -> Column:
+    """Number of blocks that open before a statement, by halving."""
+    n = F.size(blocks_col)
 
+    def halve(acc: Column, _: Column) -> Column:
+        def move(mid: Column) -> Column:
+            low = F.get(blocks_col, mid)["open_seq"] < seq
+            return (F.when(acc.lo >= acc.hi, acc)
+                    .when(low, F.struct((mid + 1).alias("lo"), acc.hi.alias("hi")))
+                    .otherwise(F.struct(acc.lo.alias("lo"), mid.alias("hi"))))
+        return _let(F.shiftright(acc.lo + acc.hi, 1), move)
+    rounds = F.sequence(F.lit(1), F.length(F.bin(n.cast("long"))).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda acc: acc.lo)
 
-def with_scope(rows: DataFrame) -> DataFrame:
-    """Add ``inside`` (enclosing blocks), ``fn`` (innermost function) and ``block_end``.
 
-    Meant for the few statements a filter has kept: it looks through the
-    blocks of the file once per row.
+def enclosing(blocks_col: Column, seq: Column) -> Column:
+    """Blocks a statement lies in, outermost first (its own header is outside).
+
+    From the last block that opens before the statement upward, so work follows the depth.
     """
+    def climb(k: Column) -> Column:
+        def up(acc: Column, _: Column) -> Column:
+            return _let(F.get(blocks_col, acc.at), lambda b: F.struct(
+                F.coalesce(b["parent"], F.lit(-1)).alias("at"),
+                F.when(b["close_seq"] >= seq, F.concat(F.array(b), acc.out)).otherwise(acc.out).alias("out")))
+        depth = F.coalesce(F.get(blocks_col, k)["depth"], F.lit(0))
+        start = F.struct(k.alias("at"), F.array().cast(f"array<{_BLOCK}>").alias("out"))
+        levels = F.filter(F.sequence(F.lit(0), depth), lambda d: d > 0)
+        return F.aggregate(levels, start, up, lambda acc: acc.out)
+    return _let(_opened_before(blocks_col, seq) - 1, climb)
+
+
+def own_end(blocks_col: Column, seq: Column) -> Column:
+    """Last line of the block that a statement opens; null if it opens none."""
+    return _let(F.get(blocks_col, _opened_before(blocks_col, seq)),
+                lambda b: F.when(b["open_seq"] == seq, b["line_end"]))
+
+
+def with_scope(rows: DataFrame) -> DataFrame:
+    """Add ``fn`` (innermost function) and ``block_end`` to rows with ``inside``."""
     return (
-        rows.withColumn("inside", enclosing(F.col("blocks"), F.col("seq")))
-        .drop("blocks")
-        .withColumn("fn", F.array_max(F.filter("inside", lambda b: b.is_function)))
+        rows.withColumn("fn", F.array_max(F.filter("inside", lambda b: b.is_function)))
         .withColumn(
             "block_end",
             F.coalesce(F.array_max("inside").getField("close_seq"), F.lit(2147483647)),
@@ -347,28 +410,33 @@ class Statement(NamedTuple):
     line: Column
     last_line: Column
     seq: Column
-    blocks: Column
+    inside: Column
+    own_end: Column
 
 
 StatementFact = Callable[[Statement], tuple[Column, dict[str, Column]]]
 
 
-def statement_facts(files: DataFrame, fact: StatementFact, words: str | None = None) -> DataFrame:
+def statement_facts(
+    files: DataFrame, fact: StatementFact, words: str | None = None, scoped: bool = False
+) -> DataFrame:
     """Rows of one fact over the statement table (``seq`` gives the order).
 
     ``words`` is a pattern every such statement fits somewhere: files without it
-    are not parsed at all.
+    are not parsed at all.  ``scoped`` facts look at the blocks around or below a statement.
 
     Condition and columns sit in a generator: a plain filter would be pushed
     below the projection and compute the statement's text again per pattern.
     """
-    condition, columns = fact(Statement(*[F.col(c) for c in Statement._fields]))
+    none = F.lit(None)
+    condition, columns = fact(Statement(*[
+        F.col(c) if scoped or c not in ("inside", "own_end") else none for c in Statement._fields]))
     row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     wanted = None
     if words is not None:
-        files, wanted = files.where(F.col("content").rlike(words)), F.col("part").rlike(words)
+        files, wanted = files.where(F.col("content").rlike(words)), lambda part: part.rlike(words)
     return (
-        statements(files, wanted)
+        statements(files, wanted, scoped)
         .select("project", "path", "seq", F.explode_outer(F.when(condition, row)).alias("row"))
         .where(F.col("row").isNotNull())
         .select("project", "path", "seq", "row.*")
@@ -389,7 +457,8 @@ def nested_statements(parts: Column) -> Column:
 def nested_statement_facts(rows: Column, blocks_col: Column, fact: StatementFact) -> Column:
     """The same rows as an array inside the file's row."""
     def one(s: Column) -> Column:
-        condition, columns = fact(Statement(s["text"], s["line"], s["last_line"], s["seq"], blocks_col))
+        condition, columns = fact(Statement(
+            s["text"], s["line"], s["last_line"], s["seq"], enclosing(blocks_col, s["seq"]), own_end(blocks_col, s["seq"])))
         return F.when(condition, F.struct(*[c.alias(n) for n, c in columns.items()]))
 
     return F.filter(F.transform(rows, one), lambda r: r.isNotNull())
@@ -398,7 +467,6 @@ def nested_statement_facts(rows: Column, blocks_col: Column, fact: StatementFact
 def function_fact(s: Statement) -> tuple[Column, dict[str, Column]]:
     """Functions, constructors, fallbacks and modifiers of a Solidity file."""
     kind = F.regexp_extract(s.text, _DECLARATION, 1)
-    body = F.filter(s.blocks, lambda b: b.open_seq == s.seq)
     attributes = F.regexp_replace(
         F.regexp_extract(s.text, r"^\w+\s*[\w$]*\s*(?:\([^()]*\))?([^{;]*)", 1),
         r"\b(?:returns|override)\s*\([^()]*\)", " ",
@@ -421,7 +489,7 @@ def function_fact(s: Statement) -> tuple[Column, dict[str, Column]]:
         "is_payable": mutability == "payable",
         "is_external": visibility.isin("external", "public"),
         "line_start": s.line,
-        "line_end": F.coalesce(F.get(body, F.lit(0)).getField("line_end"), s.last_line),
+        "line_end": F.coalesce(s.own_end, s.last_line),
         "node_type": F.when(kind == "function", "function_definition")
         .when(kind == "constructor", "constructor_definition")
         .when(kind == "modifier", "modifier_definition")
@@ -439,12 +507,11 @@ _NOT_VARIABLE = r"^(return|emit|delete|using|import|event|error|pragma|type|enum
 
 def variable_fact(s: Statement) -> tuple[Column, dict[str, Column]]:
     """Declarations directly inside a contract, library or interface."""
-    inside = enclosing(s.blocks, s.seq)
     attributes = F.regexp_extract(s.text, _VARIABLE, 2)
     found = F.regexp_extract(attributes, r"\b(public|private|internal)\b", 1)
     condition = (
-        s.text.rlike(_VARIABLE) & ~s.text.rlike(_NOT_VARIABLE) & (F.size(inside) == 1)
-        & F.get(inside, F.lit(0)).getField("header").rlike(
+        s.text.rlike(_VARIABLE) & ~s.text.rlike(_NOT_VARIABLE) & (F.size(s.inside) == 1)
+        & F.get(s.inside, F.lit(0)).getField("header").rlike(
             r"^(abstract\s+)?(contract|library|interface)\b")
     )
     return condition, {
@@ -473,11 +540,11 @@ def _solidity(files: DataFrame) -> DataFrame:
 
 def functions(files: DataFrame) -> DataFrame:
     return statement_facts(
-        _solidity(files), function_fact, "function|constructor|fallback|receive|modifier")
+        _solidity(files), function_fact, "function|constructor|fallback|receive|modifier", scoped=True)
 
 
 def state_variables(files: DataFrame) -> DataFrame:
-    return statement_facts(_solidity(files), variable_fact, "contract|library|interface|;").drop("seq")
+    return statement_facts(_solidity(files), variable_fact, "contract|library|interface|;", scoped=True).drop("seq")
 
 
 def events(files: DataFrame) -> DataFrame:
