@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceassay.llm.store import free_name, settle, slices
+from sourceassay.llm.store import free_name, settle, slices, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Code points of a chunk without and of its overlap with the next.
@@ -62,10 +62,16 @@ def _edges(pattern: str, chunk: int, overlap: int):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
                 names=[*batch.schema.names, "head", "tail"])
-    return run
+    return tidy(run)
 
 
-def _encode(path: str, pattern: str, column: int):
+def _bytes(bpe: tiktoken.Encoding, ids: pa.ListArray) -> pa.Array:
+    """The tokens' raw bytes, concatenated."""
+    return pa.array([bpe.decode_bytes(x) if x else b"" for x in ids.to_pylist()], pa.binary())
+
+
+def _encode(path: str, pattern: str, column: int, decoded: bool = False):
+    """Replace the texts by their ids; ``decoded`` adds the bytes that the ids stand for."""
     def run(batches):
         bpe = encoding(path, pattern)
         for batch in batches:
@@ -74,8 +80,11 @@ def _encode(path: str, pattern: str, column: int):
                 ends = np.cumsum([0, *map(len, ids)])
                 columns = part.columns
                 columns[column] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-    return run
+                names = part.schema.names
+                if decoded:
+                    columns, names = [*columns, _bytes(bpe, columns[column])], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+    return tidy(run)
 
 
 def _pieces(long_texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -98,12 +107,13 @@ def _pieces(long_texts: DataFrame, pattern: str, chunk: int, overlap: int) -> Da
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN,
-           chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, str]:
+           chunk: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> tuple[DataFrame, str]:
     """``docs`` with all columns but ``text`` and an array of ids, and that array's name (``ids`` or the next free one).
 
     Ids are those of the whole text, each match of the pattern by itself, without special tokens.
     Null and empty texts have no ids.  Repeated rows give repeated results; an empty table gives no rows.
-    ``path`` must be readable on every executor.
+    ``path`` must be readable on every executor.  ``decoded`` names a further column for the bytes decoded from the ids
+    in the same pass.
     """
     if overlap >= chunk:
         raise ValueError("the overlap must be shorter than a chunk")
@@ -114,7 +124,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
     short = docs.where(size <= chunk).select(*keep, F.col("text").alias(name))
     schema = short.schema
     schema.fields[at].dataType = T.ArrayType(T.IntegerType())
-    short = short.mapInArrow(_encode(path, pattern, at), schema)
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
+    short = short.mapInArrow(_encode(path, pattern, at, bool(decoded)), schema)
 
     row = free_name(docs, "row")
     long_ = settle(docs.where(size > chunk).withColumn(row, F.monotonically_increasing_id()), "long-texts")
@@ -124,7 +136,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
     coded = pieces.repartition("row", "piece").mapInArrow(_encode(path, pattern, 2), schema)
     whole = (coded.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("pieces"))
              .select(row, F.flatten(F.col("pieces.text")).alias(name)))
-    return short.unionByName(long_.join(whole, row).select(*keep, name)), name
+    long_ = long_.join(whole, row).select(*keep, name, *([F.col(name).alias(decoded)] if decoded else []))
+    return short.unionByName(decode(long_, decoded, path, pattern) if decoded else long_), name
 
 
 def _decode(path: str, pattern: str, column: int):
@@ -132,11 +145,10 @@ def _decode(path: str, pattern: str, column: int):
         bpe = encoding(path, pattern)
         for batch in batches:
             for part in slices(batch, column, IDS):
-                texts = [bpe.decode_bytes(ids) if ids else b"" for ids in part.column(column).to_pylist()]
                 columns = part.columns
-                columns[column] = pa.array(texts, pa.binary())
+                columns[column] = _bytes(bpe, part.column(column))
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-    return run
+    return tidy(run)
 
 
 def decode(coded: DataFrame, ids: str = "ids", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -149,10 +161,10 @@ def decode(coded: DataFrame, ids: str = "ids", path: str = VOCABULARY, pattern:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Token counts and digests of the ids and of the bytes decoded from them, for each row of ``doc_id, text``."""
-    coded, ids = encode(docs.select("doc_id", "text"))
-    counted = coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"),
-                           F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256).alias("ids_sha256"), ids)
-    return decode(counted, ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2(ids, 256).alias("decoded_sha256"))
+    coded, ids = encode(docs.select("doc_id", "text"), decoded="decoded")
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

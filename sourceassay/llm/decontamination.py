@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceassay.llm.fm_index import FMIndex
-from sourceassay.llm.store import free_name, slices
+from sourceassay.llm.store import free_name, slices, tidy
 from sourceassay.llm.words import ALNUM, word_list
 
 #: Bytes of phrases in one block (on the driver and in each task), and of text in one shard (plus one document).
@@ -134,7 +134,7 @@ def _searcher(phrases, text_at: int, leak_at: int):
             columns = batch.columns
             columns[leak_at] = pa.array(rows, kind)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-    return run
+    return tidy(run)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:

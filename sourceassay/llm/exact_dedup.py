@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceassay.llm.store import settle, slices
+from sourceassay.llm.store import settle, slices, tidy
 
 #: Bytes of text that a task holds as Python objects at once (plus one text).
 SLICE_BYTES = 4 << 20
@@ -34,7 +34,7 @@ def _digests(at: int):
             columns = batch.columns
             columns[at] = pa.array(found, pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-    return run
+    return tidy(run)
 
 
 def merge_counts(counts: Counter, k: int) -> Counter:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import settle, slices
+from sourceassay.llm.store import settle, slices, tidy
 from sourceassay.llm.words import NON_SPACE, mix, shingle_set, word_hashes
 
 BINS, ROWS = 255, 5
@@ -96,7 +96,7 @@ def _signed(width: int, at: int):
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=[*names, "size", "digest", "keys"])
-    return run
+    return tidy(run)
 
 
 def _sets(width: int):
@@ -109,7 +109,7 @@ def _sets(width: int):
                 [batch.column(0), pa.array([_digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
                  pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
                 names=["doc_id", "digest", "size", "sig", "members"])
-    return run
+    return tidy(run)
 
 
 def _likely_pairs(least: int):
@@ -124,7 +124,7 @@ def _likely_pairs(least: int):
                 if 100 * small >= least * large and likely(agree, small, least):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return run
+    return tidy(run)
 
 
 def _linked(x: int, y: int, common, least: int):
@@ -141,7 +141,7 @@ def _confirmed(least: int):
                 if _linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), least):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return run
+    return tidy(run)
 
 
 def _sides(table: pa.Table):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import free_name, slices
+from sourceassay.llm.store import free_name, slices, tidy
 from sourceassay.llm.training import labelled_sample, remainder
 
 #: Bytes a filter moves at once, steps it covers, learned channels of a byte, filters, steps of a chunk and between two chunks' starts.
@@ -24,7 +24,7 @@ LAGS, AGREE = range(3, 40), 3
 CHANNELS = DEPTH + 1
 #: Most labelled rows to learn from, least passes and steps, rows of a step, rate; bytes scored at once (plus one text).
 TRAIN_ROWS, EPOCHS, STEPS, BATCH, RATE = 3_000, 3, 600, 16, 0.01
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 class Network:
@@ -192,7 +192,7 @@ def _scorer(model, at: int):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             scores = probabilities(net, texts) if net else np.ones(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, net: Network | None) -> tuple[DataFrame, str]:

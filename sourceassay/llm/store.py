@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which the task's freed memory goes back to the system.
+
+    Python workers are used again by later tasks and would keep it beside the executor's heap.
+    """
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not this C library
+            pass
+    return tidied
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in consecutive parts that hold at most ``most`` bytes of text, or list elements, in ``column`` (plus one row)."""
     values = batch.column(column)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import free_name
+from sourceassay.llm.store import free_name, tidy
 from sourceassay.llm.training import labelled_sample, remainder
 from sourceassay.llm.words import ALNUM, WordHashes, mix, word_list
 
@@ -90,7 +90,7 @@ def _scorer(model, at: int):
                 found = np.unique(np.append(found[weights[found] != 0], BIAS))
                 scores.append(_sigmoid(weights[found].sum()) if model.value else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> tuple[DataFrame, str]:
