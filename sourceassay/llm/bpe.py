@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
     schema = short.schema
     schema.fields[at].dataType = T.ArrayType(T.IntegerType())
     if decoded:
-        schema = schema.add(decoded, T.BinaryType())
+        schema = T.StructType([*schema.fields, T.StructField(decoded, T.BinaryType())])
     short = short.mapInArrow(_encode(path, pattern, at, bool(decoded)), schema)
 
     row = free_name(docs, "row")
