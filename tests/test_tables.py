@@ -130,13 +130,10 @@ def test_snapshot_keeps_the_latest_scan(spark, tmp_path):
     assert [r.hash for r in snapshots.read_snapshot(spark, str(tmp_path / "s")).collect()] == ["2"]
 
 
-def test_large_projects_give_several_maps(spark):
-    index = spark.range(25_000).selectExpr("CASE WHEN id < 9 THEN 'small' ELSE 'large' END AS project",
-                                           "'f' || id AS path_relative", "'h' AS hash")
-    sizes = {}
-    for r in snapshots.path_hash_maps(index).select("project", "part", F.size("file_hashes").alias("n")).collect():
-        sizes.setdefault(r.project, []).append(r.n)
-    assert sizes["small"] == [9] and len(sizes["large"]) == 3 and sum(sizes["large"]) == 24_991
+def test_path_hashes_are_rows(spark):
+    index = spark.range(25_000).selectExpr("'p' AS project", "concat('f', id) AS path_relative", "sha2(string(id), 256) AS hash")
+    rows = snapshots.path_hashes(index)
+    assert rows.columns == ["project", "path", "hash"] and rows.count() == 25_000
 
 
 def test_metadata(spark):
