@@ -1,10 +1,13 @@
 """Operator 8, personal data: information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns find the protected entities (mail addresses, network addresses, card and phone numbers).  Blanking them is not enough when
-words around them give them away, so the corpus is asked: over all rows, a term t near an entity c
+words beside them give them away, so the corpus is asked: over all rows, a term t of a text that holds an entity c
 discloses ``PMI(c, t) / IC(c)`` of it, with ``PMI = log2(n(c,t) N / (n(c) n(t)))`` and ``IC = log2(N / n(c))``.
 Terms that disclose everything are removed, terms above a threshold are generalised, in the texts that hold the entity.
 
+Most entities occur once or twice, so c is the value and also what repeats of it: its family (mail domain, network, issuer, number
+block), its kind, and all entities together.  Instead of a fixed support, the lower confidence bound of the PMI has to be above zero.
+
 Positions come from the pieces between the matches, so no Python is needed: a match starts where the pieces and matches before it end.
 """
 
@@ -34,8 +37,8 @@ _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 
 #: Kinds of the method's own spans, after the base kinds.
 REMOVED, GENERALISED = "term-removed", "term-generalised"
-#: Code points of context on each side of an entity, and distinct texts that an entity and a pair need.
-CONTEXT, SUPPORT = 60, 3
+#: Chance at most that any of an entity's terms stands in its texts by accident; the bound of the PMI follows from it.
+ERROR = 0.05
 #: Share of an entity's information at which a term is removed or generalised.
 REMOVE, GENERALISE = 0.999, 0.95
 #: Bytes up to which a table of terms is broadcast; a larger one is joined by a shuffle.
@@ -90,69 +93,90 @@ def _with_spans(df: DataFrame, text: str, pattern: str | Column, name: str, pick
     return df.withColumn(name, found).drop("__m", "__g", "__l", "__b", "__o")
 
 
+def _family(kind: str, value: Column) -> Column:
+    """What repeats of an entity: mail domain, network of an address, issuer of a card, block of a phone number."""
+    if kind == "email":
+        return F.substring_index(value, "@", -1)
+    if kind == "ip":
+        return F.substring_index(value, ".", 3)
+    return F.substring(value, 1, 6) if kind == "card" else F.substring(value, F.lit(1), F.length(value) - 4)
+
+
 def base_spans(df: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
-    """``df`` with the array of base spans: ``start, kind_no, end`` in code points, the ``entity``'s hash and its ``terms``."""
+    """``df`` with the array of base spans: ``start, kind_no, end`` in code points, the hashes of the ``entity`` and its ``family``."""
     for no, kind in enumerate(KINDS):
         t = F.col(text)
         source = f"__t{no}"
         df = df.withColumn(source, F.when(t.contains(_NEEDS[kind]), t) if kind in _NEEDS else t)
 
         def pick(k, m, start, kind=kind, no=no):
-            left, right = F.get("__g", k), F.get("__g", k + 1)
-            # Words cut by the edge of the context are left out, and so is what belongs to other entities.
-            left = F.when(F.length(left) > CONTEXT, F.regexp_replace(F.substring(left, -CONTEXT, CONTEXT), "^" + _WORD, "")).otherwise(left)
-            right = F.when(F.length(right) > CONTEXT, F.regexp_replace(F.substring(right, 1, CONTEXT), _WORD + "$", "")).otherwise(right)
-            around = F.lower(F.regexp_replace(F.concat_ws(" \n ", left, right), r"[^\s]*[@0-9][^\s]*", " "))
-            terms = F.array_distinct(F.filter(F.regexp_extract_all(around, F.lit(_WORD), F.lit(0)), lambda w: F.length(w) > 2))
             value = F.lower(m) if kind in ("email", "ip") else F.regexp_replace(m, "[^0-9]", "")
-            return F.struct(start.alias("start"), F.lit(no).alias("kind_no"), (start + F.length(m)).alias("end"),
-                            F.xxhash64(F.lit(kind), value).alias("entity"), terms.alias("terms"))
+            return F.struct(start.alias("start"), F.lit(no).alias("kind_no"), (start + F.length(m)).alias("end"), F.xxhash64(F.lit(kind), value).alias("entity"),
+                            F.xxhash64(F.lit(kind), F.lit("family"), _family(kind, value)).alias("family"))
         df = _with_spans(df, source, PATTERNS[kind], f"__s{no}", pick, lambda m, kind=kind: _valid(kind, m))
     found = F.concat(*[F.col(f"__s{no}") for no in range(len(KINDS))])
     return df.withColumn(name, F.array_sort(found)).drop(*[f"__{x}{no}" for x in "ts" for no in range(len(KINDS))])
 
 
+def _terms(text: Column) -> Column:
+    """Distinct lower-case words of a text outside its mail addresses; the other entities are digits, which are no terms."""
+    words = F.split(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), _BETWEEN)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & w.rlike("[^0-9]")))
+
+
+def _levels(spans: Column) -> Column:
+    """Hashes of all that a text's entities are: values, families, kinds, and an entity at all."""
+    each = F.transform(spans, lambda s: F.array(s["entity"], s["family"], F.xxhash64(F.lit("kind"), s["kind_no"]), F.xxhash64(F.lit("all"))))
+    return F.array_distinct(F.flatten(each))
+
+
 def _small(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marked for broadcast if the written table ``df`` is known to be small."""
     size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")) + 16)).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
 
-def _disclosing(docs: DataFrame, base: DataFrame, support: int, generalise: float) -> DataFrame | None:
-    """``entity, term, share`` of the terms that give an entity away; None if there are none to ask about.
+def _disclosing(docs: DataFrame, base: DataFrame, error: float, generalise: float) -> DataFrame | None:
+    """``digest, term, share`` of the terms that give away an entity of the text; None if there are no entities.
 
-    Counts are of rows; an entity and a pair need ``support`` distinct texts besides, so copies alone prove nothing.
+    Counts are of rows; as evidence equal texts count once.  Of ``n`` texts with the term a share ``p`` holds the entity, where chance would
+    give ``q`` (its rows or its bytes, whichever is more); by Chernoff's bound that has a chance of ``2 ** -(n KL(p, q))``.  Below ``error`` for
+    all terms together the lower bound of the PMI is above zero.  One text is never enough, so what is in one text only is not asked about.
     """
-    near = (base.where(F.size("spans") > 0).groupBy("digest").agg(F.count("*").alias("m"), F.first("spans").alias("spans"))
-            .select("digest", "m", F.explode("spans").alias("s")).select("digest", "m", "s.entity", "s.terms"))
-    near = settle(near, "contexts")
-    rows = base.count()
-
-    def counted(what: DataFrame, by: list[str], n: str) -> DataFrame:
-        return what.select(*by, "digest", "m").distinct().groupBy(*by).agg(F.sum("m").alias(n), F.count("*").alias("texts"))
-    entities = counted(near, ["entity"], "n_c").where(F.col("texts") >= support).drop("texts")
-    terms = near.select("entity", "digest", "m", F.explode("terms").alias("term"))
-    pairs = counted(terms, ["entity", "term"], "n_ct").where(F.col("texts") >= support).drop("texts").join(entities, "entity").where(F.col("n_c") < rows)
-    # The most rows that may hold the term; those near any entity are a lower bound, which spares asking about common words.
-    most = F.col("n_ct") * F.pow(F.lit(float(rows)) / F.col("n_c"), F.lit(1 - generalise))
-    pairs = pairs.join(counted(terms, ["term"], "n_near").drop("texts"), "term").where(F.col("n_near") <= most * (1 + 1e-9))
-    pairs = settle(pairs, "pairs")
-    if pairs.isEmpty():
+    near = (base.where(F.size("spans") > 0).groupBy("digest")
+            .agg(F.count("*").alias("m"), F.first("size").alias("size"), F.first(_levels(F.col("spans"))).alias("levels"), F.first("terms").alias("terms")))
+    near = settle(near, "entity-texts")
+    if near.isEmpty():
         return None
-    asked = _small(settle(pairs.select("term").distinct(), "terms"), "term")
+    rows, total = base.agg(F.count("*"), F.sum("size")).first()
+    levels = near.select("digest", "m", "size", F.explode("levels").alias("level"))
+    stats = (levels.groupBy("level").agg(F.sum("m").alias("n_c"), F.sum(F.col("m") * F.col("size")).alias("bytes"), F.count("*").alias("texts"))
+             .where((F.col("texts") > 1) & (F.col("n_c") < rows) & (F.col("bytes") < total))
+             .select("level", "n_c", F.greatest(F.col("n_c") / rows, F.col("bytes") / total).alias("q")))
+    terms = near.select("digest", "m", F.explode("terms").alias("term"))
+    asked = settle(terms.groupBy("term").agg(F.sum("m").alias("n_near"), F.count("*").alias("texts")).where("texts > 1").drop("texts"), "terms")
+    bits = F.log2(F.lit(float(max(asked.count(), rows))) / error)
     # How many rows hold a term at all; only the asked terms are counted, and counted before they are moved.
     words = docs.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), _BETWEEN))).alias("term"))
-    counts = words.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    # A context can only be a part of the texts that hold the term.
-    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log2(F.lit(float(rows)) / F.col("n_c"))
-    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
-
-
-def _term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame, remove: float) -> DataFrame:
-    """``digest, more``: the spans of disclosing terms in the texts that hold their entity."""
-    held = base.select("digest", F.explode("spans").alias("s")).select("digest", "s.entity").distinct()
-    wanted = (held.join(terms, "entity").groupBy("digest", "term").agg(F.max("share").alias("share"))
-              .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("wanted")))  # bounded by a text's contexts
+    small, total_of = _small(asked, "term"), F.count("*").alias("n_t")
+    counts = words.join(small, "term").groupBy("term", "n_near").agg(total_of) if small is not asked else words.groupBy("term").agg(total_of).join(asked, "term")
+    # No entity has more than log2(rows) of information, nor more of the term's rows than all entities together: spares most words.
+    rare = counts.where(F.col("n_near") / F.col("n_t") * (1 + 1e-9) >= float(rows) ** (generalise - 1)).select("term", "n_t")
+    rare = _small(settle(rare, "rare-terms"), "term")
+    held = settle(terms.join(rare, "term"), "held-terms").join(levels.join(stats, "level").select("digest", "level", "n_c", "q"), "digest")
+    p, q = F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t")), F.col("q")
+    apart = p * F.log2(p / q) + F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
+    # An entity can only be in a part of the texts that hold the term.
+    share = 1 + F.log2(p) / F.log2(F.lit(float(rows)) / F.col("n_c"))
+    found = (held.groupBy("level", "term", "n_c", "q", "n_t").agg(F.sum("m").alias("n_ct"), F.count("*").alias("texts")).where("texts > 1")
+             .withColumn("share", share).where((F.col("share") >= generalise) & (p > q) & (F.col("texts") / p * apart >= bits)))
+    found = _small(settle(found.select("level", "term", "share"), "disclosing"), "term")
+    return held.join(found, ["level", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share"))
+
+
+def _term_spans(docs: DataFrame, terms: DataFrame, remove: float) -> DataFrame:
+    """``digest, more``: the spans of disclosing terms (``digest, term, share``) in their texts."""
+    wanted = terms.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("wanted"))  # bounded by a text's terms
     wanted = _small(settle(wanted, "wanted"), "wanted")
     either = F.array_join(F.transform(F.col("wanted.term"), lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|")
     # Whole words in any case, as lower() has folded them.
@@ -171,26 +195,27 @@ def kind_name(no: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in (*KINDS, REMOVED, GENERALISED)]), no + 1)
 
 
-def find(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> tuple[DataFrame, str]:
+def find(docs: DataFrame, error: float = ERROR, remove: float = REMOVE, generalise: float = GENERALISE) -> tuple[DataFrame, str]:
     """All columns of ``docs`` but the text, the text's ``digest`` and the spans (``start, kind_no, end``, sorted); and the spans' name.
 
     Struct ``personal`` (or the next free name) holds ``digest``, ``base`` and ``more``.  Null texts count as empty and have
-    no spans.  Equal texts have equal spans and count once in the statistics.  Terms inside a base span
+    no spans.  Equal texts have equal spans and count once as evidence.  Terms inside a base span
     are no spans of their own.  An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != "text"]
     name = free_name(docs, "personal")
     text = F.coalesce("text", F.lit(""))
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(1).alias("none"))
-    base = base_spans(docs.select(doc.alias("doc"), text.alias("text"))).withColumn("digest", F.md5("text")).drop("text")
+    base = base_spans(docs.select(doc.alias("doc"), text.alias("text"))).withColumn("digest", F.md5("text"))
+    base = base.withColumn("terms", F.when(F.size("spans") > 0, _terms(F.col("text")))).withColumn("size", F.octet_length("text")).drop("text")
     base = settle(base, "spans")
     texts = docs.select("text")
-    terms = _disclosing(texts, base, support, generalise)
+    terms = _disclosing(texts, base, error, generalise)
     slim = F.transform("spans", lambda s: F.struct(s["start"], s["kind_no"], s["end"]))
     if terms is None:
         out = base.withColumn("more", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))
     else:
-        more = _small(settle(_term_spans(texts, base, terms, remove), "term-spans"), "more")
+        more = _small(settle(_term_spans(texts, terms, remove), "term-spans"), "more")
         free = F.filter("more", lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
         out = base.join(more, "digest", "left").withColumn("more", F.coalesce(free, F.array()))
     return out.select(*[F.col("doc")[c].alias(c) for c in keep],

@@ -135,6 +135,23 @@ def test_disclosing_terms(docs, by_id):
     assert "[EMAIL]" in clean[0].text and "Zanzibar" not in clean[0].text and clean[50].text == rows[6][1] and clean[99].text is None
 
 
+def test_terms_of_rare_entities(docs, by_id):
+    """Mail addresses that occur once or twice: what is beside them all, and beside a repeated one, goes; also far from the entity."""
+    rows = [(k, f"dear reader{k} the letter of Zanzibar {'and so on ' * 20} goes to person{k}@firm.com") for k in range(8)]
+    rows += [(20, "the Quixote lives in the house of twice@else.org today"), (21, "a house where Quixote paints and twice@else.org writes")]
+    rows += [(30, "the lonely Hapax asks once@third.net"), (30, "the lonely Hapax asks once@third.net")]  # copies prove nothing
+    rows += [(100 + k, f"the letter and the house of a reader who paints, writes and asks today, dear {k} person lives so on" + " goes to" * (k % 5)) for k in range(300)]
+    found, name = personal_data.find(docs(rows))
+    more = {}
+    for r in found.collect():
+        text = dict(rows)[r.doc_id]
+        more.setdefault(r.doc_id, set()).update((text[s.start:s.end], s.kind_no) for s in r[name]["more"])
+    gone = len(personal_data.KINDS)
+    assert all(("Zanzibar", gone) in more[k] for k in range(8)) and ("Quixote", gone) in more[20] & more[21]
+    assert not more[30] and not any(more[100 + k] for k in range(300))
+    assert not {"the", "letter", "house", "dear"} & {w for v in more.values() for w, _ in v}
+
+
 PAGE = ("<html><head><title>t</title></head><body><nav>menu</nav><div class='cookie-notice'>eat</div><header>top</header><article><h1>A &amp; B</h1>"
         "<p>one<b>two</b>\n three<br>four<script>x('</p>')</script><aside>no</aside><form>f</form><p>five<section id=comments><p>troll</p></section>"
         "</article><footer>end</footer>")
