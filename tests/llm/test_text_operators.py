@@ -170,6 +170,22 @@ def test_pages(spark, by_id):
     assert html_text.extract(pages.where("false"))[0].count() == 0
 
 
+def test_pages_keep_their_prose(spark):
+    """Without a main element: phrases inside prose, blocks of a few pages, copies of a page and pages without a host stay."""
+    bar = "<div>all the topics of this site at a glance</div>"
+    rows = [(k, f"http://big.x/{k}", f"{bar}<p>text{k} begins and on the other hand of it ends{k}</p>" + "<div>read it again</div>" * (k < 2)) for k in range(20)]
+    rows += [(100 + k, "http://copy.x/", "<p>one and the same page is here again and again</p>") for k in range(5)]
+    rows += [(200 + k, url, "<p>no host but a text of several words</p>") for k, url in enumerate((None, "odd", "odd"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in (html_text.PART_BYTES, 40):
+        found, text = html_text.extract(pages, part_bytes=part)
+        got = {r.page_id: r[text] for r in found.collect()}
+        assert len(got) == len(rows)
+        for k in range(20):
+            assert got[k] == f"text{k} begins and on the other hand of it ends{k}" + "\nread it again" * (k < 2)
+        assert all(got[100 + k].startswith("one and") for k in range(5)) and all(got[200 + k].startswith("no host") for k in range(3))
+
+
 def test_repeated_runs_match_brute_force():
     draw = np.random.default_rng(5)
     streams = [draw.integers(1, 4, n).astype(np.uint64) for n in (40, 3, 60, 25)]
