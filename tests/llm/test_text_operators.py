@@ -186,6 +186,25 @@ def test_pages_keep_their_prose(spark):
         assert all(got[100 + k].startswith("one and") for k in range(5)) and all(got[200 + k].startswith("no host") for k in range(3))
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body class='single has-sidebar'><article>a b</article>x", ["a b"]),
+    ("<body class='sidebar'><p>a b</p>", ["a b"]),
+    ("<div id='content-sidebar-wrap'><article>a b</article><div class='sidebar'>x</div></div>", ["a b"]),
+    ("<div class='sidebar'>x<article>a b</article>y</div><p>z", ["a b"]),
+    ("<form id='aspnet'><nav>x</nav><main>a b</main></form>", ["a b"]),
+    ("<article class='post comments-open'>a b</article>", ["a b"]),
+    ("<main class='search-page'>a b</main>", ["a b"]),
+    ("<main class='search'>a b</main>", ["a b"]),
+    ("<article><div class='entry-header'><h1>a</h1></div><header class='header'>b</header>c</article>", ["a", "b", "c"]),
+    ("<article><div class='related-work'>a</div><section id='form'>b</section><section id='related'>c</section></article>", ["a", "b", "c"]),
+    ("<article>a<div class='ad'>x</div><div class='post cookie-notice'>y</div><div id='comments'>z</div><form>f</form></article>", ["a"]),
+    ("<aside><article>x</article></aside><main>a b</main>", ["a b"]),
+    ("<div class='widget'><article>x</article></div><article>a b</article>", ["a b"]),
+])
+def test_marks(page, want):
+    assert html_text.blocks(page) == (("<article" in page or "<main" in page), want)
+
+
 def test_repeated_runs_match_brute_force():
     draw = np.random.default_rng(5)
     streams = [draw.integers(1, 4, n).astype(np.uint64) for n in (40, 3, 60, 25)]
