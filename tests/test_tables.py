@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,21 @@ def test_scan_skips_links_and_splits_large_trees(spark, tmp_path):
     assert [r.project for r in errors.collect()] == ["gone"]
 
 
+def test_scan_lists_a_large_directory_in_pieces(spark, tmp_path):
+    (tmp_path / "p" / "flat").mkdir(parents=True)
+    for n in range(35):
+        (tmp_path / "p" / "flat" / f"{n}.bin").write_bytes(b"\xff\x00")
+        (tmp_path / "p" / "flat" / f"d{n}").mkdir()
+        (tmp_path / "p" / "flat" / f"d{n}" / "a").write_text("x")
+    start = pd.DataFrame([("p", str(tmp_path / "p"), "")], columns=["project", "root", "path"])
+    pieces = list(scan._lister(frozenset(), 10)(iter([start])))
+    assert max(map(len, pieces)) <= 10 and sum((p.kind == "file").sum() for p in pieces) >= 10
+    roots = spark.createDataFrame([("p", str(tmp_path / "p"))], "project string, root string")
+    files, errors = scan.scan_corpus(roots, budget=10)
+    want = {f"flat/{n}.bin": b"\xff\x00" for n in range(35)} | {f"flat/d{n}/a": b"x" for n in range(35)}
+    assert {r.path: bytes(r.raw) for r in files.collect()} == want and errors.isEmpty()
+
+
 def test_incremental_changes(spark, tmp_path):
     schema = "project string, path string, raw binary, is_symlink boolean"
     source, place = str(tmp_path / "in"), lambda n: str(tmp_path / n)
