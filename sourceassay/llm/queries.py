@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import (bpe, decontamination, exact_dedup, html_text, licenses, near_dedup, personal_data,
+from sourceassay.llm import (alignment, bpe, decontamination, exact_dedup, html_text, licenses, near_dedup, personal_data,
                               quality, sharding, toxicity)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_personal_data": personal_data.op8,
     "op9_html_text": html_text.op9,
     "op10_sharding": sharding.op10,
+    "op12_tokenizer_alignment": alignment.op12,
 }
 
 ORACLE_SQL = {
