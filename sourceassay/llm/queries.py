@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sourceassay.llm import (alignment, bpe, decontamination, exact_dedup, html_text, licenses, near_dedup, personal_data,
-                              quality, sharding, toxicity)
+from sourceassay.llm import (alignment, bpe, decontamination, exact_dedup, filter_audit, fingerprints, html_text, licenses, near_dedup,
+                              personal_data, quality, sharding, toxicity)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
@@ -16,11 +16,14 @@ QUERIES = {
     "op8_personal_data": personal_data.op8,
     "op9_html_text": html_text.op9,
     "op10_sharding": sharding.op10,
+    "op11_filter_audit": filter_audit.op11,
     "op12_tokenizer_alignment": alignment.op12,
+    "op13_fingerprints": fingerprints.op13,
 }
 
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontamination.OP1_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
