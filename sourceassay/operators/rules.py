@@ -7,8 +7,9 @@ make up the rule's *binding*.  Matching runs in three moves:
 1. files that hold none of the rules' words are dropped before they are parsed,
 2. one projection over the statements tags every statement with the steps it
    fits (rule, step, binding); almost everything is dropped right there,
-3. the events meet in (rule, file, scope) groups, which hold one function's
-   events at most, and a small automaton runs over each group's sorted events.
+3. the events meet in (rule, file, scope) groups, and windows over each group's
+   ordered events point from every step to the next one: every first step that
+   completes is a match.
 
 The texts are read and parsed once and only events are shuffled, once.
 """
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceassay.operators import structure
@@ -78,7 +80,7 @@ class Rule:
     per_file: bool = False  # scope is the file, not the function
     needs_guard: bool = False  # guards allow the match instead of taking it back
     to_scope_end: bool = False  # complete only if no guard follows in the scope
-    per_binding: bool = False  # one row per binding even for a single step
+    per_binding: bool = False  # a single step counts once per binding
 
     @property
     def keyed(self) -> bool:
@@ -86,11 +88,6 @@ class Rule:
         parts = (*self.steps, *self.guards)
         return all(p.key for p in parts)
 
-    @property
-    def each(self) -> bool:
-        """Does every single step count, or one match per scope and binding?"""
-        return len(self.steps) == 1 and not (self.per_binding or self.to_scope_end)
-
 
 SCRIPT = ("js", "jsx", "ts", "tsx")
 SOLIDITY = ("sol",)
@@ -371,76 +368,68 @@ def _one_of(name: str, numbers: list[int]) -> Column:
     return F.col(name).isin(*numbers) if numbers else F.lit(False)
 
 
-def _each_match(events: Column, needs_guard: Column) -> Column:
-    """Every step the guards before it do not cover (or, if asked, do cover)."""
-    start = F.struct(F.lit(-1).alias("reach"),
-                     F.array().cast("array<struct<line_start:int,line_end:int>>").alias("out"))
-
-    def advance(acc: Column, e: Column) -> Column:
-        hit = (e.step == 1) & ((acc.reach >= e.seq) == needs_guard)
-        found = F.array(F.struct(e.line.alias("line_start"), e.last_line.alias("line_end")))
-        return F.struct(
-            F.when(e.step == 0, F.greatest(acc.reach, e.until)).otherwise(acc.reach).alias("reach"),
-            F.when(hit, F.concat(acc.out, found)).otherwise(acc.out).alias("out"),
-        )
-
-    return F.aggregate(events, start, advance, lambda acc: acc.out)
-
-
-def _first_match(events: Column, binding: Column, n: Column, to_scope_end: Column) -> Column:
-    """First completion of the steps in order for one binding; empty if there is none."""
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"),
-        F.lit(-1).alias("reach"), F.lit(False).alias("done"))
-
-    def advance(acc: Column, e: Column) -> Column:
-        mine = ~acc.done & (e.binding.isNull() | (e.binding == binding))
-        begin = mine & (e.step == 1) & (acc.at == 0) & (e.seq > acc.reach)
-        onward = mine & (e.step > 1) & (e.step == acc.at + 1)
-        reset = mine & (e.kind == "reset")
-        cover = mine & (e.step == 0) & (e.kind != "reset")
-        at = F.when(begin, 1).when(onward, e.step).when(reset, 0).otherwise(acc.at)
-        return F.struct(
-            at.alias("at"),
-            F.when(begin, e.line).otherwise(acc.first).alias("first"),
-            F.when(begin | onward, e.last_line).otherwise(acc["last"]).alias("last"),
-            F.when(cover, F.greatest(acc.reach, e.until)).otherwise(acc.reach).alias("reach"),
-            (acc.done | ((begin | onward) & (at == n) & ~to_scope_end)).alias("done"),
-        )
-
-    def finish(acc: Column) -> Column:
-        match = F.struct(acc.first.alias("line_start"), acc["last"].alias("line_end"))
-        return F.when(acc.done | (to_scope_end & (acc.at == n)), F.array(match)).otherwise(
-            F.array().cast("array<struct<line_start:int,line_end:int>>"))
-
-    return F.aggregate(events, start, advance, finish)
+def _chains(events: DataFrame, group: list[str], catalogue: tuple[Rule, ...]) -> DataFrame:
+    """Every first step with what guards say about it: covered by one before it, taken back by the next one behind it."""
+    def pick(values) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+
+    every, own = [*group], [*group, "binding"]
+    ahead, behind = [F.col("seq").desc(), F.col("step").asc()], [F.col("seq").asc(), F.col("step").desc()]
+    cover = F.when((F.col("step") == 0) & (F.col("kind") != "reset"), F.col("until"))
+    reset = F.when((F.col("step") == 0) & (F.col("kind") == "reset"), F.col("seq"))
+    wild = F.col("binding").isNull()
+    def last(value, part, order):
+        return F.last(value, ignorenulls=True).over(W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    def widest(value, part):
+        return F.max(value).over(W.partitionBy(*part).orderBy(*behind).rowsBetween(W.unboundedPreceding, -1))
+    return (
+        events.withColumn("steps", pick([len(r.steps) for r in catalogue]))
+        # Groups without a last step can't hold a match.
+        .withColumn("complete", F.max(F.col("step") == F.col("steps")).over(W.partitionBy(*every))).where("complete")
+        .withColumn("covered", F.greatest(widest(F.when(wild, cover), every), widest(F.when(~wild, cover), own)))
+        .withColumn("reset", F.least(last(F.when(wild, reset), every, ahead), last(F.when(~wild, reset), own, ahead)))
+        .where("step > 0")
+        .withColumn("needs_guard", pick([r.needs_guard for r in catalogue]))
+        .withColumn("chain", (F.col("step") == 1) & (F.coalesce(F.col("covered") >= F.col("seq"), F.lit(False)) == F.col("needs_guard")))
+        .where(F.col("chain") | (F.col("step") > 1))
+        .drop("complete", "covered", "needs_guard", "kind", "until")
+    )
 
 
 def match_events(events: DataFrame, catalogue: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
-    """Events -> matches.  A group holds one rule's events in one function (or file)."""
-    def numbers(test) -> list[int]:
-        return [i for i, r in enumerate(catalogue) if test(r)]
-
-    length = F.get(F.array(*[F.lit(len(r.steps)) for r in catalogue]), F.col("rule"))
-    # Later steps first: a statement that fits two steps cannot take both.
-    grouped = (
-        events.groupBy("rule", "project", "path", "scope", "own")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "seq", (-F.col("step")).alias("order"), "step", "kind", "binding", "until",
-            "line", "last_line"))).alias("events"))
-        .withColumn("n", length)
-        .where(F.exists("events", lambda e: e.step == F.col("n")))
-        .withColumn("each", _one_of("rule", numbers(lambda r: r.each)))
-        .withColumn("needs_guard", _one_of("rule", numbers(lambda r: r.needs_guard)))
-        .withColumn("to_scope_end", _one_of("rule", numbers(lambda r: r.to_scope_end)))
-    )
-    firsts = F.transform(F.filter("events", lambda e: e.step == 1), lambda e: e.binding)
-    bound = grouped.withColumn(
-        "binding", F.explode(F.when(F.col("each"), F.array(F.lit("")))
-                             .otherwise(F.array_distinct(firsts))))
-    found = F.when(F.col("each"), _each_match(F.col("events"), F.col("needs_guard"))).otherwise(
-        _first_match(F.col("events"), F.col("binding"), F.col("n"), F.col("to_scope_end")))
-    return bound.select("rule", "project", "path", F.inline(found))
+    """Events -> matches, one row for each first step that completes.
+
+    A chain starts at every first step that no guard covers.  Its next step is the nearest event behind it that fits, found by a
+    window over the events of one rule and scope; k steps take k - 1 such pointers.  A guard that resets breaks the
+    chains under way.  Windows spill, so neither a function nor a file of a single scope has to fit in memory.
+    Rules ``per_binding`` report their first match of a binding.
+    """
+    group = ["rule", "project", "path", "scope", "own"]
+
+    def pick(values) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+
+    rows = _chains(events, group, catalogue)
+    steps_of = [r.steps for r in catalogue]
+    for no in range(2, max((len(s) for s in steps_of), default=1) + 1):
+        # Where the step is keyed only those of the chain's binding count, any other one fits all bindings.  What is behind a row is
+        # read as the running last one from the far end; of one statement later steps come first, so it can't take two.
+        keyed = pick([len(s) >= no and s[no - 1].key is not None for s in steps_of])
+        back = W.partitionBy(*group, "link").orderBy(F.col("seq").desc(), F.col("step").asc()).rowsBetween(W.unboundedPreceding, -1)
+        target = F.when(~F.col("chain") & (F.col("step") == no), F.struct("seq", "last_line"))
+        onward = F.col("chain") & (F.col("steps") >= no)
+        # The chain goes on from the place that its pointer shows, with its own binding; it ends if there is none.
+        rows = (rows.withColumn("link", F.when(keyed, F.col("binding"))).withColumn("ahead", F.last(target, ignorenulls=True).over(back))
+                .where(~onward | F.col("ahead").isNotNull())
+                .withColumns({"seq": F.when(onward, F.col("ahead.seq")).otherwise(F.col("seq")),
+                              "last_line": F.when(onward, F.col("ahead.last_line")).otherwise(F.col("last_line")),
+                              "step": F.when(onward, no).otherwise(F.col("step"))}))
+    whole, reset = pick([r.to_scope_end for r in catalogue]), F.col("reset")
+    kept = rows.where(F.col("chain") & (reset.isNull() | (~whole & (reset >= F.col("seq")))))
+    first = pick([r.per_binding and len(r.steps) == 1 for r in catalogue])
+    earlier = F.row_number().over(W.partitionBy(*group, "binding").orderBy("seq"))
+    kept = kept.withColumn("number", earlier).where(~first | (F.col("number") == 1))
+    return kept.select("rule", "project", "path", F.col("line").alias("line_start"), F.col("last_line").alias("line_end"))
 
 
 def match_rules(files: DataFrame, catalogue: tuple[Rule, ...] = CATALOGUE) -> DataFrame:

@@ -554,10 +554,10 @@ def _key(alias: str, pattern: str, groups) -> str:
 
 
 def _chain(where: str, steps, guards=(), more: str = "") -> str:
-    """Steps in order within a function: from the first first step, the earliest way through."""
+    """Steps in order within a function: from each first step, the earliest way through."""
     first, key = steps[0]
-    sql = (f"SELECT a.project, a.path, a.fn, {_key('a', first, key)} AS k, min(a.line) AS line, min(a.line) AS at "
-           f"FROM rl a WHERE a.fn IS NOT NULL AND {where} AND regexp_matches(a.text, '{first}') {more} GROUP BY 1, 2, 3, 4")
+    sql = (f"SELECT DISTINCT a.project, a.path, a.fn, {_key('a', first, key)} AS k, a.line, a.line AS at "
+           f"FROM rl a WHERE a.fn IS NOT NULL AND {where} AND regexp_matches(a.text, '{first}') {more}")
     for pattern, key in steps[1:]:
         same = f"AND {_key('n', pattern, key)} = c.k" if key is not None else ""
         sql = (f"SELECT c.project, c.path, c.fn, c.k, c.line, min(n.line) AS at FROM ({sql}) c JOIN rl n ON n.project = c.project "
