@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceassay import fixed_values as fv
@@ -166,38 +167,52 @@ def state_writes(files: DataFrame, mode: str = "compat") -> DataFrame:
     )
 
 
+#: Lines of a file that meet in one group when calls are looked up in functions.
+_LINES = 64
+
+
 def calls_in_functions(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls inside function ranges: an equi join per file with the range as residual."""
-    return functions.join(calls, ["project", "path"]).where(
-        F.col("line").between(F.col("line_start"), F.col("line_end"))
-    )
+    """Calls inside function ranges.
+
+    A function is laid out over the stretches of ``_LINES`` lines that it touches, so a call only meets
+    functions of its own stretch, not all of its file.
+    """
+    stretch = F.floor(F.col("line") / _LINES)
+    laid = functions.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("line_start") / _LINES), F.floor(F.col("line_end") / _LINES))))
+    return laid.join(calls.withColumn("stretch", stretch), ["project", "path", "stretch"]).where(
+        F.col("line").between(F.col("line_start"), F.col("line_end"))).drop("stretch")
+
+
+def next_line(rows: DataFrame, at: str, events: DataFrame, name: str, *values: str) -> DataFrame:
+    """``rows`` with a struct ``name`` of the first of ``events`` on line ``at`` of the same file or behind it; null if there is none.
+
+    Rows and events of a file are one ordered stream and a row sees the running last event from its far end, so no row meets
+    an event that it doesn't get.
+    """
+    event = F.struct("line", *values)
+    stream = rows.select("project", "path", F.col(at).alias("line"), F.struct(*[c for c in rows.columns if c not in ("project", "path")]).alias("row"),
+                         F.lit(None).cast(events.select(event.alias("e")).schema["e"].dataType).alias("event"))
+    stream = stream.unionByName(events.select("project", "path", "line", event.alias("event")), allowMissingColumns=True)
+    # Events come in front of rows of the same line.
+    back = W.partitionBy("project", "path").orderBy(F.col("line").desc(), F.col("event").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (stream.withColumn(name, F.last("event", ignorenulls=True).over(back)).where(F.col("row").isNotNull())
+            .select("project", "path", "row.*", name))
 
 
 def first_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """First external call line of every function that has one."""
     spans = functions.select("project", "path", "seq", F.col("name").alias("function"),
                              "line_start", "line_end")
-    return (
-        calls_in_functions(spans, calls.select("project", "path", "line"))
-        .groupBy("project", "path", "seq", "function", "line_start", "line_end")
-        .agg(F.min("line").alias("external_call_line"))
-    )
+    found = next_line(spans, "line_start", calls.select("project", "path", "line"), "call")
+    return found.where(F.col("call.line") <= F.col("line_end")).select(
+        "project", "path", "seq", "function", "line_start", "line_end", F.col("call.line").alias("external_call_line"))
 
 
 def reentrancy(functions: DataFrame, calls: DataFrame, writes: DataFrame) -> DataFrame:
-    """First state write from the first call on, per function; its last line is not looked at.
-
-    Joins and groups all hash on the file, whose rows are bounded by its text.
-    """
-    window = F.col("line").between(
-        F.col("external_call_line"), F.least("line_end", "n_lines") - 1
-    )
+    """First state write from the first call on, per function; its last line is not looked at."""
+    found = next_line(first_calls(functions, calls), "external_call_line", writes, "write", "n_lines", "state_write_text")
     return (
-        first_calls(functions, calls)
-        .join(writes, ["project", "path"])
-        .where(window)
-        .groupBy("project", "path", "seq", "function", "external_call_line")
-        .agg(F.min(F.struct("line", "state_write_text")).alias("write"))
+        found.where(F.col("write.line") <= F.least("line_end", "write.n_lines") - 1)
         .select("project", "path", "function", "external_call_line",
                 F.col("write.line").alias("state_write_line"),
                 F.col("write.state_write_text").alias("state_write_text"),

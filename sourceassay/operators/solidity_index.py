@@ -37,28 +37,32 @@ def _arithmetic(lines: Column) -> Column:
     return F.flatten(F.transform(lines, of_line))
 
 
+def _next(rows: Column, at: Column) -> Column:
+    """The first of ``rows``, which are ordered by their line, on line ``at`` or behind it; by halving."""
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc.lo + acc.hi, 1)
+        low = F.get(rows, mid)["line"] < at
+        return (F.when(acc.lo >= acc.hi, acc).when(low, F.struct((mid + 1).alias("lo"), acc.hi.alias("hi")))
+                .otherwise(F.struct(acc.lo.alias("lo"), mid.alias("hi"))))
+    n = F.size(rows)
+    rounds = F.sequence(F.lit(1), F.length(F.bin(n.cast("long"))).cast("int"))
+    return F.get(rows, F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda acc: acc.lo))
+
+
 def _reentrancy(functions: Column, calls: Column, writes: Column, n_lines: Column) -> Column:
-    """First state write from a function's first call on, its last line left out."""
+    """First state write from a function's first call on, its last line left out; calls and writes are ordered by line."""
     called = F.transform(
         functions,
         lambda f: F.struct(
-            f["name"].alias("name"),
-            F.least(f["line_end"], n_lines).alias("stop"),
-            F.array_min(F.transform(
-                F.filter(calls, lambda c: c["line"].between(f["line_start"], f["line_end"])),
-                lambda c: c["line"])).alias("call"),
-        ),
+            f["name"].alias("name"), f["line_end"].alias("line_end"),
+            F.least(f["line_end"], n_lines).alias("stop"), _next(calls, f["line_start"])["line"].alias("call")),
     )
     written = F.transform(
-        F.filter(called, lambda f: f["call"].isNotNull()),
-        lambda f: F.struct(
-            f.alias("f"),
-            F.array_min(F.filter(
-                writes, lambda w: w["line"].between(f["call"], f["stop"] - 1))).alias("write"),
-        ),
+        F.filter(called, lambda f: f["call"] <= f["line_end"]),
+        lambda f: F.struct(f.alias("f"), _next(writes, f["call"]).alias("write")),
     )
     return F.transform(
-        F.filter(written, lambda r: r["write"].isNotNull()),
+        F.filter(written, lambda r: r["write"]["line"] < r["f"]["stop"]),
         lambda r: F.struct(
             r["f"]["name"].alias("function"), r["f"]["call"].alias("external_call_line"),
             r["write"]["line"].alias("state_write_line"),
@@ -85,7 +89,8 @@ def sol_files(files: DataFrame, mode: str = "compat") -> DataFrame:
     parsed = (
         files.withColumn("lines", F.split("content", "\n"))
         .withColumn("parts", structure.pieces(F.col("content"), F.col("language")))
-        .withColumn("blocks", structure.blocks(F.col("parts"), F.col("language")))
+        .withColumn("events", structure.block_events(F.col("parts"), F.col("language")))
+        .withColumn("blocks", structure.blocks(F.col("events"), F.col("parts"), F.col("language"))).drop("events")
         .withColumn("rows", structure.nested_statements(F.col("parts")))
         .withColumn("solidity_version", version)
         .withColumn("is_solidity_08_plus", sol.is_08_plus(F.col("solidity_version")))
@@ -99,6 +104,7 @@ def sol_files(files: DataFrame, mode: str = "compat") -> DataFrame:
                      lambda c: ~F.array_contains(F.col("at"), c["line"])),
         ))
         .withColumn("writes", writes)
+        .withColumn("call_lines", F.array_sort(F.transform("external_calls", lambda c: F.struct(c["line"].alias("line")))))
     )
     functions = F.col("functions")
     return parsed.select(
@@ -130,7 +136,7 @@ def sol_files(files: DataFrame, mode: str = "compat") -> DataFrame:
         facts.nested_facts(lines, facts.oracle_fact).alias("oracle_uses"),
         F.when(F.col("is_solidity_08_plus"), F.array().cast(_OPERATION))
         .otherwise(_arithmetic(lines)).alias("arithmetic_ops"),
-        _reentrancy(functions, F.col("external_calls"), F.col("writes"), F.size(lines)).alias("reentrancy_risk"),
+        _reentrancy(functions, F.col("call_lines"), F.col("writes"), F.size(lines)).alias("reentrancy_risk"),
         F.transform(
             F.filter(functions, lambda f: f["name"].isin(*fv.FLASH_LOAN_RECEIVERS)),
             lambda f: F.struct(f["name"].alias("function"), f["line_start"].alias("line_start"),

@@ -158,12 +158,13 @@ def piece_last_line(piece: Column) -> Column:
 
 _BLOCK = ("struct<open_seq:int,close_seq:int,line_start:int,line_end:int,header:string,is_function:boolean,"
           "parent:int,depth:int>")
-_OPEN = "struct<seq:int,indent:int,line:int,header:string,is_function:boolean,nth:int,parent:int,depth:int>"
-#: Blocks gathered before they are added to the rest in one go, so that a fold doesn't copy all blocks at each step.
-_CHUNK = 256
+_OPEN = "struct<seq:int,indent:int,line:int,header:string,is_function:boolean,nth:int>"
+#: Events that one fold goes through.  Spark copies a fold's state at each step, so what a fold gathers has to stay small.
+_CHUNK = 128
+_END = 2147483647
 
 
-def _block_events(parts: Column, language: Column) -> Column:
+def block_events(parts: Column, language: Column) -> Column:
     """Statements that open or close a block."""
     python = language == "py"
 
@@ -201,80 +202,84 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def blocks(parts: Column, language: Column) -> Column:
+def blocks(events: Column, parts: Column, language: Column) -> Column:
     """Blocks of a file in the order they open: opening and closing statement, lines, header, parent and depth.
 
-    ``parent`` is the place of the surrounding block in this array, or -1.  One pass with a stack.  A closing
+    ``parent`` is the place of the surrounding block in this array, or -1.  A closing
     brace ends the newest open block; in Python a statement ends every block that is indented as deep or deeper.
-    """
-    none = F.array().cast(f"array<{_BLOCK}>")
-    start = F.struct(
-        F.array().cast(f"array<{_OPEN}>").alias("stack"),
-        none.alias("chunk"),
-        F.array().cast(f"array<array<{_BLOCK}>>").alias("out"),
-        F.lit(0).alias("opened"),
-        F.lit(0).alias("seq"),
-        F.lit(0).alias("line"),
-    )
 
-    def close(opened: Column, seq: Column, line: Column) -> Column:
-        return F.transform(
-            opened,
-            lambda o: F.struct(
-                o.seq.alias("open_seq"), seq.alias("close_seq"), o.line.alias("line_start"),
-                line.alias("line_end"), o.header.alias("header"),
-                o.is_function.alias("is_function"), o.parent.alias("parent"), o.depth.alias("depth"),
-            ),
-        )
+    Brackets are matched in chunks of events.  What a chunk does to the blocks that are open in front of it is
+    a summary (closers it can't match itself, or its least indent, and openers it leaves); summaries compose in order
+    and give every chunk its open blocks, with which it is folded on its own.  Time grows with the number of events.
+    """
+    python = language == "py"
+    stack_kind, no_blocks = f"array<{_OPEN}>", F.array().cast(f"array<{_BLOCK}>")
 
-    def step(acc: Column, e: Column) -> Column:
-        stack = acc.stack
+    def kept(stack: Column, e: Column) -> Column:
         depth = F.size(stack)
-        python = e.kind == "p"
-        keep = (
-            F.when(e.kind == "}", F.greatest(depth - 1, F.lit(0)))
-            .when(python, F.size(F.filter(stack, lambda o: o.indent < e.indent)))
-            .otherwise(depth)
-        )
-        ended = close(
-            F.slice(stack, keep + 1, depth),
-            F.when(python, acc.seq).otherwise(e.seq),
-            F.when(python, acc.line).otherwise(e.last_line),
-        )
-        opened = F.array(
-            F.struct(e.seq.alias("seq"), e.indent.alias("indent"), e.line.alias("line"),
-                     e.header.alias("header"), e.is_function.alias("is_function"), acc.opened.alias("nth"),
-                     F.coalesce(F.get(stack, keep - 1)["nth"], F.lit(-1)).alias("parent"), (keep + 1).alias("depth"))
-        )
-
-        def gathered(chunk: Column) -> Column:
-            full = F.size(chunk) >= _CHUNK
+        return (F.when(e.kind == "}", F.greatest(depth - 1, F.lit(0)))
+                .when(e.kind == "p", F.size(F.filter(stack, lambda o: o.indent < e.indent))).otherwise(depth))
+
+    def after(stack: Column, e: Column, nth: Column) -> Column:
+        keep = kept(stack, e)
+        opened = F.struct(e.seq.alias("seq"), e.indent.alias("indent"), e.line.alias("line"), e.header.alias("header"),
+                          e.is_function.alias("is_function"), nth.alias("nth"))
+        return (F.when(e.opens, F.concat(F.slice(stack, F.lit(1), keep), F.array(opened)))
+                .when(keep < F.size(stack), F.slice(stack, F.lit(1), keep)).otherwise(stack))
+
+    def more(acc: Column, e: Column) -> Column:
+        return F.when(e.opens, acc.opened + 1).otherwise(acc.opened)
+
+    def summary(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pops"), F.lit(_END).alias("low"), F.array().cast(stack_kind).alias("stack"), F.lit(0).alias("opened"))
+        return F.aggregate(chunk, start, lambda acc, e: F.struct(
+            F.when((e.kind == "}") & (F.size(acc.stack) == 0), acc.pops + 1).otherwise(acc.pops).alias("pops"),
+            F.least(acc.low, e.indent).alias("low"), after(acc.stack, e, acc.opened).alias("stack"), more(acc, e).alias("opened")))
+
+    def close(stack: Column, keep: Column, seq: Column, line: Column) -> Column:
+        def block(o: Column, i: Column) -> Column:
             return F.struct(
-                F.when(e.opens, F.concat(F.slice(stack, F.lit(1), keep), opened))
-                .otherwise(F.slice(stack, F.lit(1), keep)).alias("stack"),
-                F.when(full, none).otherwise(chunk).alias("chunk"),
-                F.when(full, F.concat(acc.out, F.array(chunk))).otherwise(acc.out).alias("out"),
-                F.when(e.opens, acc.opened + 1).otherwise(acc.opened).alias("opened"),
-                e.seq.alias("seq"),
-                e.last_line.alias("line"),
-            )
-        return _let(F.when(keep < depth, F.concat(acc.chunk, ended)).otherwise(acc.chunk), gathered)
-
-    last = F.get(parts, F.size(parts) - 1)
-    return F.array_sort(F.aggregate(
-        _block_events(parts, language),
-        start,
-        step,
-        lambda acc: F.concat(
-            F.flatten(acc.out),
-            acc.chunk,
-            close(
-                acc.stack,
-                F.when(language == "py", acc.seq).otherwise(F.size(parts) - 1),
-                F.when(language == "py", acc.line).otherwise(piece_last_line(last)),
-            ),
-        ),
-    ))
+                o.seq.alias("open_seq"), seq.alias("close_seq"), o.line.alias("line_start"), line.alias("line_end"), o.header.alias("header"),
+                o.is_function.alias("is_function"), F.coalesce(F.get(stack, keep + i - 1)["nth"], F.lit(-1)).alias("parent"),
+                (keep + i + 1).alias("depth"))
+        return F.transform(F.slice(stack, keep + 1, F.size(stack)), block)
+
+    def step(acc: Column, e: Column) -> Column:
+        keep = kept(acc.stack, e)
+        ended = close(acc.stack, keep, F.when(python, acc.seq).otherwise(e.seq), F.when(python, acc.line).otherwise(e.last_line))
+        return F.struct(
+            after(acc.stack, e, acc.opened).alias("stack"),
+            F.when(keep < F.size(acc.stack), F.concat(acc.out, ended)).otherwise(acc.out).alias("out"),
+            more(acc, e).alias("opened"), e.seq.alias("seq"), e.last_line.alias("line"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(events) - 1, F.lit(0)), F.lit(_CHUNK)), lambda k: F.slice(events, k + 1, _CHUNK))
+    count = F.size(chunks)
+
+    def following(acc: Column, s: Column) -> Column:
+        keep = F.when(python, F.size(F.filter(acc.stack, lambda o: o.indent < s.low))).otherwise(F.greatest(F.size(acc.stack) - s.pops, F.lit(0)))
+        left = F.transform(s.stack, lambda o: F.struct(*[o[f].alias(f) for f in ("seq", "indent", "line", "header", "is_function")],
+                                                       (o.nth + acc.opened).alias("nth")))
+        stack, opened = F.concat(F.slice(acc.stack, F.lit(1), keep), left), acc.opened + s.opened
+        here = F.struct(stack.alias("stack"), opened.alias("opened"))
+        return F.struct(stack.alias("stack"), opened.alias("opened"), F.concat(acc.out, F.array(here)).alias("out"))
+
+    first = F.struct(F.array().cast(stack_kind).alias("stack"), F.lit(0).alias("opened"))
+    begin = F.struct(first["stack"].alias("stack"), first["opened"].alias("opened"), F.array(first).alias("out"))
+    summaries = F.transform(F.slice(chunks, F.lit(1), count - 1), summary)  # that of the last chunk is not asked for
+    incoming = F.aggregate(summaries, begin, following, lambda acc: acc.out)
+
+    def folded(s: Column, i: Column) -> Column:
+        before = F.get(events, i * _CHUNK - 1)
+        start = F.struct(s.stack.alias("stack"), no_blocks.alias("out"), s.opened.alias("opened"),
+                         F.coalesce(before["seq"], F.lit(0)).alias("seq"), F.coalesce(before["last_line"], F.lit(0)).alias("line"))
+        last = F.get(parts, F.size(parts) - 1)
+        def finish(acc: Column) -> Column:
+            rest = close(acc.stack, F.lit(0), F.when(python, acc.seq).otherwise(F.size(parts) - 1),
+                         F.when(python, acc.line).otherwise(piece_last_line(last)))
+            return F.when((i + 1) * _CHUNK >= F.size(events), F.concat(acc.out, rest)).otherwise(acc.out)
+        return F.aggregate(F.slice(events, i * _CHUNK + 1, F.lit(_CHUNK)), start, step, finish)
+
+    return F.array_sort(F.flatten(F.transform(incoming, folded)))
 
 
 def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
@@ -282,7 +287,8 @@ def with_blocks(files: DataFrame, *keep: str) -> DataFrame:
     content, language = F.col("content"), F.col("language")
     return (
         files.select("project", "path", "language", *keep, pieces(content, language).alias("parts"))
-        .withColumn("blocks", blocks(F.col("parts"), language))
+        .withColumn("events", block_events(F.col("parts"), language))
+        .withColumn("blocks", blocks(F.col("events"), F.col("parts"), language)).drop("events")
     )
 
 

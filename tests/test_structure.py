@@ -94,3 +94,71 @@ def test_repartitioning_changes_nothing(code):
     a = structure.functions(files.repartition(7)).drop("seq").collect()
     b = structure.functions(files.coalesce(1)).drop("seq").collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def block_stack(kinds):
+    """(open_seq, close_seq, parent, depth) by a stack; ``kinds`` are braces, or (indent, opens) of Python statements."""
+    stack, out = [], []
+    def close(keep, seq):
+        while len(stack) > keep:
+            i, nth = stack.pop()[:2]
+            out.append((i, seq, stack[-1][1] if stack else -1, len(stack) + 1))
+    opened = 0
+    for i, kind in enumerate(kinds):
+        if isinstance(kind, str):
+            if kind == "}" and stack:
+                close(len(stack) - 1, i)
+            opens, indent = kind == "{", 0
+        else:
+            indent, opens = kind
+            close(sum(s[2] < indent for s in stack), i - 1)
+        if opens:
+            stack.append((i, opened, indent))
+            opened += 1
+    close(0, len(kinds) - 1)
+    return sorted(out)
+
+
+def test_blocks_of_many_chunks_equal_a_stack(code):
+    rng = random.Random(3)
+    braces = {f"f{n}.sol": ["}", "}", *(rng.choice("{{{}}}x") for _ in range(n))] for n in (1, 126, 127, 128, 300, 1000)}
+    deep = {"deep.sol": ["{"] * 400 + ["}"] * 500 + ["{"] * 3}
+    indents = {}
+    for n in (50, 129, 700):
+        rows = [(0, True)]
+        for _ in range(n):
+            rows.append((rows[-1][0] + 1 if rows[-1][1] else rng.randint(0, rows[-1][0]), rng.random() < 0.5))
+        indents[f"p{n}.py"] = rows[:-1] + [(rows[-1][0], False)]
+    texts = {p: "\n".join({"{": "f() {", "}": "}", "x": "x;"}[k] for k in ks) for p, ks in (braces | deep).items()}
+    texts |= {p: "\n".join(" " * i + ("if a:" if o else "x = 1") for i, o in rows) for p, rows in indents.items()}
+    rows = structure.with_blocks(code(texts)).select("path", F.inline("blocks")).collect()
+    for path, kinds in (braces | deep | indents).items():
+        got = sorted((r.open_seq, r.close_seq, r.parent, r.depth) for r in rows if r.path == path)
+        assert got == block_stack(kinds), path
+
+
+def test_first_calls_and_writes_by_line(spark):
+    """Random ranges, calls and writes against all pairs."""
+    rng = random.Random(8)
+    functions, calls, writes = [], set(), set()
+    for f in range(20):
+        for seq in range(rng.randint(0, 12)):
+            start = rng.randint(1, 200)
+            functions.append(("p", f"f{f}", seq, f"n{seq}", start, start + rng.choice([0, 3, 90])))
+        calls |= {("p", f"f{f}", rng.randint(1, 220)) for _ in range(rng.randint(0, 15))}
+        writes |= {("p", f"f{f}", 210, n, f"w{n}") for n in (rng.randint(1, 210) for _ in range(rng.randint(0, 25)))}
+    fs = spark.createDataFrame(functions, "project string, path string, seq int, name string, line_start int, line_end int")
+    cs = spark.createDataFrame(sorted(calls), "project string, path string, line int")
+    ws = spark.createDataFrame(sorted(writes), "project string, path string, n_lines int, line int, state_write_text string")
+    inside = sorted((r.path, r.seq, r.line) for r in facts.calls_in_functions(fs, cs).collect())
+    assert inside == sorted((p, s, c[2]) for _, p, s, _, a, b in functions for c in calls if c[1] == p and a <= c[2] <= b)
+    want, risky = [], []
+    for _, p, s, n, a, b in functions:
+        first = min((c[2] for c in calls if c[1] == p and a <= c[2] <= b), default=None)
+        if first is not None:
+            want.append((p, s, first))
+            write = min((w[3] for w in writes if w[1] == p and first <= w[3] <= min(b, 210) - 1), default=None)
+            risky += [(p, n, first, write)] if write is not None else []
+    assert sorted((r.path, r.seq, r.external_call_line) for r in facts.first_calls(fs, cs).collect()) == sorted(want)
+    found = facts.reentrancy(fs, cs, ws).collect()
+    assert sorted((r.path, r.function, r.external_call_line, r.state_write_line) for r in found) == sorted(risky) and len(risky) > 20
