@@ -18,10 +18,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceassay.llm.store import settle, slices, tidy
+from sourceassay.llm.store import free_name, settle, slices, tidy
 from sourceassay.llm.words import NON_SPACE, mix, shingle_set, word_hashes
 
 BINS, ROWS = 255, 5
@@ -344,18 +344,24 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; defined as in ``near_groups``."""
+    """The rows of ``docs`` that are kept, with all their columns; defined as in ``near_groups``.
+
+    Texts without shingles all stay, repeated or not.  Of rows that repeat id and text, if they have shingles, one stays.
+    """
     found = settle(near_groups(docs, width, least).select("doc_id", "mark", "kept"), "near-groups")
-    # Rows with equal id and text can't be told apart: then one of them stands for all.
-    kept = found.where("kept").select("doc_id", "mark")
-    gone = found.where("not kept").select("doc_id", "mark")
-    repeats = gone.alias("g").join(kept.alias("k"), F.col("g.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("g.mark") == F.col("k.mark")), "left_semi")
-    if not repeats.isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-        gone = gone.alias("g").join(kept.alias("k"), F.col("g.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("g.mark") == F.col("k.mark")), "left_anti")
-    gone = _small(settle(gone.distinct(), "gone"), 64)
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.md5(F.coalesce("d.text", F.lit(""))) == F.col("g.mark"))
-    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    kept, gone = (found.where(test).select("doc_id", "mark").distinct() for test in ("kept", "not kept"))
+    def same(left: str, right: str, mark: Column) -> Column:
+        return F.col(f"{left}.doc_id").cast("long").eqNullSafe(F.col(f"{right}.doc_id")) & (mark == F.col(f"{right}.mark"))
+    def rows(keys: DataFrame, how: str) -> DataFrame:
+        return docs.alias("d").join(_small(keys, 64).alias("g"), same("d", "g", F.md5(F.coalesce("d.text", F.lit("")))), how)
+    staying = rows(settle(gone, "gone"), "left_anti")
+    # Rows with equal id and text, one kept and others gone, can't be told apart: one of them stays.  No other row is touched.
+    repeats = settle(gone.alias("g").join(kept.alias("k"), same("g", "k", F.col("g.mark")), "left_semi"), "repeats")
+    if repeats.isEmpty():
+        return staying
+    mark = free_name(docs, "mark")
+    one = rows(repeats, "left_semi").withColumn(mark, F.md5("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    return staying.unionByName(one)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

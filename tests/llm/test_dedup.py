@@ -121,3 +121,15 @@ def test_word_hashes(text):
     h = word_hashes(text, NON_SPACE)
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
     assert len(shingle_set(h, 2)) == len({tuple(words[k:k + 2]) for k in range(max(1, len(words) - 1))} if words else ())
+
+
+def test_near_stage_drops_nothing_beside_its_groups(spark):
+    """A repeated text elsewhere in the table doesn't touch rows that share an id and a text without shingles."""
+    words = " ".join(f"w{k}" for k in range(20))
+    rows = [(2, None, "en", "m"), (2, None, "de", "m"), (3, "", "en", "m"), (3, "", "en", "m"), (4, words, "en", "m"), (4, words, "de", "m"),
+            (5, words + " more", "en", "m"), (6, "other text of a few words here", "en", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, mark string")
+    kept = near_dedup.drop_near_duplicates(docs, width=5)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "", r.lang if r.doc_id == 2 else "") for r in kept.collect())
+    assert got == [(2, "", "de"), (2, "", "en"), (3, "", ""), (3, "", ""), (4, words, ""), (6, rows[-1][1], "")]

@@ -250,3 +250,23 @@ def test_contract_digests(spark, by_id):
         want = base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{personal_data.KINDS[k]}:{s}:{e}" for s, k, e in want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p title=it's>Hello it's me</p><p>two</p></article>", ["Hello it's me", "two"]),
+    ("<article><p>if a<b then it's so</p><p>it's \"z\" > q</p></article>", ["if a", "it's \"z\" > q"]),
+    ("<article><p title = 'a > b' lang=\"x'>\">one</p><img alt='>'/>two</article>", ["one", "two"]),
+    ("<article><p title=\"never closed>one</p><p>two</p></article>", ["one", "two"]),
+    ("<article><p>one</p><p>two</p><a href=", ["one", "two"]),
+])
+def test_quotes_in_tags(page, want):
+    assert html_text.blocks(page) == (True, want)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x=' ", "a<b 'c ", "<!", "</script ", "<a x=\"y", "<p =", "<!--"])
+def test_broken_markup_is_read_in_linear_time(unit):
+    import time
+    page = "<article>" + unit * 300_000
+    started = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - started < 20
