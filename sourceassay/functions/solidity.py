@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,17 +23,13 @@ def is_08_plus(version: Column) -> Column:
 
 def call_type(line: Column) -> Column:
     """External-call type of a line, the first that fits in the fixed order."""
-    cases = [
-        (line.rlike(rf"\.\s*{name}\s*\{fv.CALL_OPENERS[name]}"), name) for name in fv.CALL_TYPES
-    ]
-    first, *rest = cases
-    chain = F.when(first[0], first[1])
-    return reduce(lambda acc, c: acc.when(c[0], c[1]), rest, chain)
+    cases = [F.when(line.rlike(pattern), name) for name, pattern in fv.CALL_PATTERNS.items()]
+    return F.coalesce(*cases)
 
 
 def call_callee(statement: Column) -> Column:
     """Expression the call is made on, with the method name."""
-    names = "|".join(fv.CALL_TYPES)
+    names = "|".join(fv.CALL_PATTERNS)
     return F.regexp_extract(statement, rf"([\w.\[\]()]+\.\s*(?:{names}))\s*[{{(]", 1)
 
 

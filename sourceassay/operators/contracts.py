@@ -222,11 +222,21 @@ def unknown_files(findings: DataFrame, index: DataFrame) -> DataFrame:
     return findings.join(known, ["project", "file_path"], "left_anti")
 
 
-def check_contract_b(manifests: DataFrame, findings: DataFrame) -> DataFrame:
-    return (
+def check_known_files(findings: DataFrame, index: DataFrame, code_project: str = "project") -> DataFrame:
+    """A violation for each finding whose file is not in the index of its ``code_project``."""
+    rows = findings.withColumns({"payload": F.col("project"), "project": F.col(code_project)})
+    missing = unknown_files(rows, index).withColumn("project", F.col("payload"))
+    problem = _problem(F.lit(True), "file_path", "B-001", "file is not in the index")
+    return _violations(missing, F.lit("finding"), F.col("idx").cast("string"), [problem])
+
+
+def check_contract_b(manifests: DataFrame, findings: DataFrame, index: DataFrame | None = None, code_project: str = "project") -> DataFrame:
+    """All violations of the manifests; files are looked up if an index is given."""
+    found = (
         check_findings(findings).unionByName(duplicate_ids(findings))
         .unionByName(check_manifests(manifests, findings))
     )
+    return found if index is None else found.unionByName(check_known_files(findings, index, code_project))
 
 
 def verdicts(payloads: DataFrame, violations: DataFrame) -> DataFrame:
@@ -252,6 +262,12 @@ def valid_rows(rows: DataFrame, violations: DataFrame) -> DataFrame:
     return rows.join(bad, "project", "left_anti")
 
 
+def with_validity(rows: DataFrame, violations: DataFrame) -> DataFrame:
+    """Rows of all payloads, with ``is_valid``: does their payload have no error?"""
+    bad = violations.where(F.col("level") == "ERROR").select("project").distinct().withColumn("bad", F.lit(True))
+    return rows.join(bad, "project", "left").withColumn("is_valid", F.col("bad").isNull()).drop("bad")
+
+
 def valid_findings(manifests: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings of valid manifests, with the default confidence filled in."""
     return valid_rows(findings, check_contract_b(manifests, findings)).withColumn(

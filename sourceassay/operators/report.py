@@ -1,15 +1,19 @@
 """Findings, patches, reports and roll-ups.
 
-Tables that hold one value per manifest (nested report, Markdown, splices) are
+Tables that hold one value per manifest (nested report, Markdown) are
 only built for findings of *valid* manifests, which hold 500 findings at most;
-everything else stays one row per finding.
+everything else stays one row per finding, of any manifest.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sourceassay import fixed_values as fv
 from sourceassay.functions import paths
 
 
@@ -49,7 +53,7 @@ def summary_lines(counts: DataFrame, status: Column | None = None, label: str =
     status = F.coalesce(status if status is not None else F.lit(None).cast("string"), F.lit("OK"))
     numbers = [F.coalesce(c, F.lit(0)) for c in ("total_findings", "critical", "high", "medium", "low")]
     return counts.select("project", F.format_string(
-        label + " status: %s. Findings: total=%d, critical=%d, high=%d, medium=%d, low=%d.", status, *numbers).alias("summary"))
+        label + fv.SUMMARY_LINE, status, *numbers).alias("summary"))
 
 
 def reports(report: DataFrame, manifests: DataFrame, as_of: Column) -> DataFrame:
@@ -97,57 +101,63 @@ def suggestions(applicable: DataFrame) -> DataFrame:
     """Suggestion files as rows."""
     return applicable.select(
         "project", paths.suggestion_path(F.col("file_path"), F.col("id")).alias("suggestion_path"),
-        "patch")
+        "patch", *[c for c in applicable.columns if c == "is_valid"])
 
 
 def markdown_body(report: DataFrame, applied: DataFrame) -> DataFrame:
     """Markdown summary per manifest: totals and a table of the applied findings."""
-    row = F.format_string("| %s | %s | `%s` | %s |", "id", "severity", "file_path", "vulnerability_class")
+    row = F.format_string(fv.MARKDOWN_ROW, "id", "severity", "file_path", "vulnerability_class")
     table = applied.groupBy("project").agg(
         F.array_sort(F.collect_list(F.struct("idx", row.alias("text")))).alias("rows")
     ).select("project", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("table"))
     head = F.format_string(
-        "**Summary:** %d finding(s) -- %d critical, %d high, %d medium, %d low.",
-        "total_findings", "critical", "high", "medium", "low")
-    columns = "| ID | Severity | File | Issue |\n|----|----------|------|-------|"
+        fv.MARKDOWN_HEAD, "total_findings", "critical", "high", "medium", "low")
     return severity_counts(report).join(table, "project", "left").select(
         "project",
-        F.concat_ws("\n", head, F.lit(""), F.lit(columns), "table").alias("body"))
+        F.concat_ws("\n", head, F.lit(""), F.lit(fv.MARKDOWN_COLUMNS), "table").alias("body"))
+
+
+def _greedy(batches):
+    """``project, file_path, line_start, line_end, ...`` in order -> with ``rejected``; only the end of the last accepted patch is kept."""
+    file, end = None, 0
+    for batch in batches:
+        rejected = []
+        for project, path, first, last in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if (project, path) != file:
+                file, end = (project, path), 0
+            fits = first is not None and last is not None and max(end, 0) < first <= last
+            end = last if fits else end
+            rejected.append(not fits)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "rejected"])
 
 
 def mark_overlaps(report: DataFrame) -> DataFrame:
-    """Patches of a file in the order of start and id; one that overlaps the last *accepted* one is rejected.
+    """Patches as rows with ``rejected``: of a file, in the order of start and id, one that overlaps the last *accepted* one.
 
-    Rows come from valid manifests, so a file has 500 patches at most.
+    So is one whose lines are missing, start below 1 or end before they start.  Rows of a file are read as one ordered
+    stream, so a file may have any number of patches.
     """
-    rows = F.array_sort(F.collect_list(F.struct("line_start", "id", "line_end", "patch")))
-    kind = "array<struct<line_start:int,line_end:int,id:string,patch:string,rejected:boolean>>"
-    def step(done: Column, p: Column) -> Column:
-        rejected = p["line_start"] <= done["end"]
-        marked = F.struct(p["line_start"].alias("line_start"), p["line_end"].alias("line_end"), p["id"].alias("id"),
-                          p["patch"].alias("patch"), rejected.alias("rejected"))
-        return F.struct(F.when(rejected, done["end"]).otherwise(p["line_end"]).alias("end"),
-                        F.concat(done["patches"], F.array(marked).cast(kind)).alias("patches"))
-    none = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("patches"))
-    return report.withColumns({c: F.col(c).cast("int") for c in ("line_start", "line_end")}).groupBy("project", "file_path").agg(
-        rows.alias("ps")).select("project", "file_path", F.aggregate("ps", none, step, lambda d: d["patches"]).alias("patches"))
+    rows = report.select("project", "file_path", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"),
+                         "id", "patch")
+    return (rows.repartition("project", "file_path").sortWithinPartitions("project", "file_path", "line_start", "id")
+            .mapInArrow(_greedy, T.StructType([*rows.schema.fields, T.StructField("rejected", T.BooleanType())])))
 
 
 def splice(files: DataFrame, applicable: DataFrame) -> DataFrame:
-    """Replace the lines of every accepted patch, last range first."""
-    marked = mark_overlaps(applicable).select(
-        "project", F.col("file_path").alias("path"),
-        F.filter("patches", lambda p: ~p["rejected"]).alias("accepted"),
-        F.size(F.filter("patches", lambda p: p["rejected"])).alias("rejected"))
-    def replace(lines: Column, p: Column) -> Column:
-        before = F.slice(lines, F.lit(1), F.least(p["line_start"] - 1, F.size(lines)))
-        after = F.slice(lines, p["line_end"] + 1, F.greatest(F.size(lines) - p["line_end"], F.lit(0)))
-        return F.concat(before, F.split(p["patch"], "\n"), after)
-    spliced = F.aggregate(F.reverse("accepted"), F.split("content", "\n"), replace)
-    return files.select("project", "path", "content").join(
-        marked, ["project", "path"]
-    ).select("project", "path", F.array_join(spliced, "\n").alias("content"),
-             F.size("accepted").alias("applied"), "rejected")
+    """Replace the lines of every accepted patch; what stands between two patches is copied once."""
+    order = W.partitionBy("project", "file_path", "rejected").orderBy("line_start", "id")
+    marked = mark_overlaps(applicable).withColumn("before", F.lag("line_end", 1, 0).over(order))
+    piece = F.struct("line_start", "before", "line_end", "patch")
+    # The accepted patches of a file are a part of its new text.
+    by_file = marked.groupBy("project", F.col("file_path").alias("path")).agg(
+        F.array_sort(F.collect_list(F.when(~F.col("rejected"), piece))).alias("accepted"), F.count_if("rejected").cast("int").alias("rejected"))
+    lines = F.col("lines")
+    parts = F.transform("accepted", lambda p: F.concat(
+        F.slice(lines, p["before"] + 1, p["line_start"] - 1 - p["before"]), F.split(p["patch"], "\n")))
+    end = F.coalesce(F.array_max(F.transform("accepted", lambda p: p["line_end"])), F.lit(0))
+    rest = F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0)))
+    return files.select("project", "path", "content").join(by_file, ["project", "path"]).withColumn("lines", F.split("content", "\n")).select(
+        "project", "path", F.array_join(F.concat(F.flatten(parts), rest), "\n").alias("content"), F.size("accepted").alias("applied"), "rejected")
 
 
 def audit_outcomes(

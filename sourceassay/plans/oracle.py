@@ -59,7 +59,7 @@ def _lines(table: str, extra: str = "") -> str:
 
 _CALL = (
     "CASE " + " ".join(
-        rf"WHEN regexp_matches(text, '\.\s*{c}\s*\{fv.CALL_OPENERS[c]}') THEN '{c}'" for c in fv.CALL_TYPES)
+        f"WHEN regexp_matches(text, '{pattern}') THEN '{c}'" for c, pattern in fv.CALL_PATTERNS.items())
     + " END"
 )
 _MINOR = r"TRY_CAST(nullif(regexp_extract(solidity_version, '0\.(\d+)\.', 1), '') AS BIGINT)"
@@ -167,6 +167,10 @@ CTES = {
 }
 
 
+#: Building blocks that several parts of a query read.
+MATERIALIZED = {"nodes", "spans"}
+
+
 def _needs(sql: str, names: list[str]) -> list[str]:
     found = []
     for n in names:
@@ -185,8 +189,8 @@ def add(name: str, sql: str, **own: str) -> None:
             if n not in wanted:
                 wanted.add(n)
                 todo.append(blocks[n])
-    with_ = ",\n".join(f"{n} AS ({blocks[n]})" for n in order if n in wanted)
-    SQL[name] = f"WITH {with_}\n{sql}" if with_ else sql
+    with_ = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({blocks[n]})" for n in order if n in wanted)
+    SQL[name] = f"WITH RECURSIVE {with_}\n{sql}" if with_ else sql
 
 
 def oracle_sql() -> dict[str, str]:
@@ -195,8 +199,9 @@ def oracle_sql() -> dict[str, str]:
 
 # --- sources -----------------------------------------------------------------------
 
-add("src_1_scan_corpus", "SELECT project, path, octet_length(raw) AS size, is_symlink FROM src "
-    "WHERE regexp_matches(path, '/D[0-9]+[.]')")
+add("src_1_scan_corpus", f"""
+    SELECT project, path, CASE WHEN NOT is_symlink THEN octet_length(raw) END AS size, is_symlink FROM src
+    WHERE NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), {_list(fv.GENERAL_IGNORED_DIRS)})""")
 add("src_2_scan_solidity", "SELECT project, path FROM sol0")
 add("src_3_decode_files", "SELECT project, path, CASE WHEN content IS NULL THEN 'invalid_utf8' END AS error FROM dec")
 add("src_4_project_metadata", """
@@ -436,17 +441,27 @@ CTES["badheads"] = " UNION ALL ".join(
 CTES["badb"] = "SELECT * FROM badfindings UNION ALL SELECT * FROM dups UNION ALL SELECT * FROM badheads"
 CTES["valid"] = "SELECT * FROM findings WHERE project NOT IN (SELECT project FROM badb)"
 CTES["vreport"] = "SELECT * FROM report WHERE project NOT IN (SELECT project FROM badb)"
-CTES["applicable"] = """SELECT r.* FROM vreport r WHERE patch <> '' AND file_path <> ''
+CTES["applicable"] = """SELECT r.*, project NOT IN (SELECT project FROM badb) AS is_valid FROM report r WHERE patch <> '' AND file_path <> ''
     AND EXISTS (SELECT 1 FROM src s WHERE NOT s.is_symlink AND s.project = r.code_project AND s.path = r.file_path)"""
-add("joi_6_applicable_patches", "SELECT code_project AS project, idx, id, file_path, patch FROM applicable")
+add("joi_6_applicable_patches", "SELECT code_project AS project, idx, id, file_path, patch, is_valid FROM applicable")
 _JOINED_CALLS = "SELECT project, path, callee, method, call_type, value, text, line FROM calls"
 add("joi_7_external_calls", _JOINED_CALLS)
+_FILE = "PARTITION BY project, path ORDER BY"
+CTES["spans"] = f"""SELECT *, row_number() OVER ({_FILE} s NULLS FIRST, id NULLS FIRST) AS rn FROM (
+    SELECT code_project AS project, file_path AS path, line_start + k AS s, line_end + 2 * k AS e, id || '-' || k AS id, patch || k AS patch
+    FROM applicable, range(3) r(k))"""
+CTES["walk"] = """SELECT DISTINCT project, path, 0::BIGINT AS rn, 0::BIGINT AS reach, false AS ok FROM spans UNION ALL
+    SELECT o.project, o.path, o.rn, CASE WHEN o.s > w.reach AND o.e >= o.s THEN o.e ELSE w.reach END, coalesce(o.s > w.reach AND o.e >= o.s, false)
+    FROM walk w JOIN spans o ON o.project = w.project AND o.path = w.path AND o.rn = w.rn + 1"""
+CTES["accepted"] = f"SELECT o.*, lag(o.e, 1, 0) OVER ({_FILE} rn) AS before FROM spans o JOIN walk w USING (project, path, rn) WHERE w.ok"
 add("joi_11_splice", """
-    SELECT s.project, s.path, sha256(array_to_string(list_concat(list_concat(
-        list_slice(ls, 1, a.line_start - 1), string_split(a.patch, chr(10))), list_slice(ls, a.line_end + 1, len(ls))), chr(10))) AS hash,
-      1 AS applied, 0 AS rejected
+    SELECT s.project, s.path, sha256(array_to_string(list_concat(
+        flatten(coalesce(list(list_concat(list_slice(ls, before + 1, a.s - 1), string_split(patch, chr(10))) ORDER BY rn) FILTER (WHERE rn IS NOT NULL), [])),
+        list_slice(any_value(ls), coalesce(max(e), 0) + 1, len(any_value(ls)))), chr(10))) AS hash,
+      count(rn)::INTEGER AS applied, (any_value(n) - count(rn))::INTEGER AS rejected
     FROM (SELECT project, path, string_split(content, chr(10)) AS ls FROM rul1 WHERE content IS NOT NULL) s
-    JOIN applicable a ON a.code_project = s.project AND a.file_path = s.path""")
+    JOIN (SELECT project, path, count(*) AS n FROM spans GROUP BY ALL) t USING (project, path)
+    LEFT JOIN accepted a ON a.project = s.project AND a.path = s.path GROUP BY s.project, s.path""")
 
 # --- aggregations --------------------------------------------------------------------------------------
 
@@ -698,7 +713,13 @@ for _name, _codes in (("val_b0_required", ("B-000",)), ("val_b2_lines", ("B-002"
                       ("val_b4_class", ("B-004",)), ("val_b5_confidence", ("B-005",)), ("val_b9_severity", ("B-009",)),
                       ("val_b10_texts", ("B-010",))):
     add(_name, f"SELECT * FROM badfindings WHERE rule IN {_in(_codes)}")
-add("val_b1_known_file", f"SELECT project, count(*) AS n FROM (SELECT code_project AS project FROM {_UNKNOWN}) GROUP BY project")
+CTES["unknown"] = ("SELECT project, 'finding' AS entity, CAST(idx AS VARCHAR) AS idx, 'file_path' AS field, 'B-001' AS rule, 'ERROR' AS level "
+                   f"FROM {_UNKNOWN}")
+add("val_b1_known_file", "SELECT * FROM unknown")
+add("val_b1_verdicts", """
+    SELECT m.project, count(b.rule) FILTER (WHERE level = 'ERROR') AS errors, count(b.rule) FILTER (WHERE level = 'WARN') AS warnings,
+      count(b.rule) FILTER (WHERE level = 'ERROR') = 0 AS is_valid
+    FROM manifests m LEFT JOIN (SELECT * FROM badb UNION ALL SELECT * FROM unknown) b USING (project) GROUP BY m.project""")
 add("val_b7_ids", "SELECT * FROM badfindings WHERE rule = 'B-007' UNION ALL SELECT * FROM dups")
 for _name, _code in (("val_b6_count", "B-006"), ("val_b8_tracks", "B-008"), ("val_b11_header", "B-011"),
                      ("val_b12_metadata", "B-012")):
@@ -808,5 +829,5 @@ add("snk_1_report_json", """
         'vulnerability_class': vulnerability_class, 'severity': severity, 'description': description, 'patch': patch,
         'explanation': explanation} ORDER BY idx) FILTER (WHERE r.project IS NOT NULL), [])})::VARCHAR AS json
     FROM manifests h LEFT JOIN vreport r ON r.project = h.project WHERE h.project NOT IN (SELECT project FROM badb) GROUP BY h.project""")
-add("snk_2_snapshot", "SELECT project, sha256(project) AS project_hash, path, sha256(stripped) AS hash FROM norm")
-add("snk_3_suggestions", "SELECT code_project AS project, file_path || '.suggestion-' || id || '.txt' AS suggestion_path, patch FROM applicable")
+add("snk_2_snapshot", "SELECT project, sha256(project) AS project_hash, '2024-05-01' AS last_scan, path, sha256(stripped) AS hash FROM norm")
+add("snk_3_suggestions", "SELECT code_project AS project, file_path || '.suggestion-' || id || '.txt' AS suggestion_path, patch, is_valid FROM applicable")

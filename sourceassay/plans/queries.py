@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,17 +108,18 @@ class Tables:
 
 @query("src_1_scan_corpus")
 def _(t: Tables) -> DataFrame:
-    """Write the documents out as real files in the shared folder and walk them."""
+    """Write all files out as real ones in the shared folder, links as links, and walk them."""
     ensure_checkpoint_dir(t.spark)
     shared = t.spark.sparkContext.getCheckpointDir()
     if not shared.startswith(("file:", "/")):
         raise ValueError("this query walks files: spark.checkpoint.dir has to be a mounted folder")
     name = hashlib.sha256(t.sf_dir.encode()).hexdigest()[:12]
     base = f"{shared.removeprefix('file:')}/tree-{name}"
-    docs = t.files.where(F.col("ext").isin(".md", ".js", ".ts", ".tsx", ".jsx") & F.col("path").rlike("/D[0-9]+[.]"))
-    if not os.path.isdir(base):
-        _write_tree(docs.select("project", "path", "raw"), base)
-    roots = docs.select("project").distinct().withColumn("root", F.concat(F.lit(base + "/"), "project"))
+    files = t.files
+    if not os.path.exists(f"{base}.complete"):  # a tree that a lost driver left unfinished is written over
+        _write_tree(files.select("project", "path", "raw", "is_symlink"), base)
+        open(f"{base}.complete", "w").close()
+    roots = files.select("project").distinct().withColumn("root", F.concat(F.lit(base + "/"), "project"))
     files, _ = scan.scan_corpus(roots)
     return files.select("project", "path", F.octet_length("raw").cast("bigint").alias("size"), "is_symlink")
 
@@ -125,11 +127,17 @@ def _(t: Tables) -> DataFrame:
 def _write_tree(files: DataFrame, base: str) -> None:
     def put(batches):
         for batch in batches:
-            for project, path, raw in batch.itertuples(index=False):
+            for project, path, raw, is_symlink in batch.itertuples(index=False):
                 target = os.path.join(base, project, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as out:
-                    out.write(raw)
+                # Put in place at once, so a task that runs again finds whole files.
+                part = f"{target}.{uuid.uuid4().hex}"
+                if is_symlink:
+                    os.symlink("missing", part)
+                else:
+                    with open(part, "wb") as out:
+                        out.write(raw)
+                os.replace(part, target)
             yield batch[["project"]]
     files.mapInPandas(put, "project string").write.format("noop").mode("overwrite").save()
 
@@ -463,7 +471,8 @@ def _(t):
 
 
 def _applicable(t: Tables) -> DataFrame:
-    rows = report.build_report(t.valid, t.patches)
+    """Patches of the findings of all manifests, valid or not."""
+    rows = contracts.with_validity(report.build_report(t.findings, t.patches), contracts.check_contract_b(t.manifests, t.findings))
     owners = t.findings.select("project", "idx", "code_project")
     rows = rows.join(owners, ["project", "idx"]).drop("project").withColumnRenamed("code_project", "project")
     return report.applicable_patches(rows, corpus.skip_symlinks(t.paths))
@@ -471,7 +480,7 @@ def _applicable(t: Tables) -> DataFrame:
 
 @query("joi_6_applicable_patches")
 def _(t):
-    return _applicable(t).select("project", "idx", "id", "file_path", "patch")
+    return _applicable(t).select("project", "idx", "id", "file_path", "patch", "is_valid")
 
 
 @query("joi_7_external_calls")
@@ -504,7 +513,11 @@ def _(t):
 
 @query("joi_11_splice")
 def _(t):
-    return report.splice(t.code, _applicable(t)).select(
+    """Three patches for each finding, of which some overlap."""
+    rows = _applicable(t).drop("is_valid").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumns({
+        "line_start": F.col("line_start") + F.col("k"), "line_end": F.col("line_end") + 2 * F.col("k"),
+        "id": F.concat("id", F.lit("-"), "k"), "patch": F.concat("patch", "k")})
+    return report.splice(t.code, rows).select(
         "project", "path", text.sha256(F.col("content")).alias("hash"), "applied", "rejected")
 
 
@@ -721,11 +734,20 @@ _finding_check("val_b9_severity", "B-009")
 _finding_check("val_b10_texts", "B-010")
 
 
+def _index_paths(t: Tables) -> DataFrame:
+    return corpus.candidates(t.paths).select("project", F.col("path").alias("path_relative"))
+
+
 @query("val_b1_known_file")
 def _(t):
-    found = t.findings.select(F.col("code_project").alias("project"), "file_path", "id")
-    index = corpus.candidates(t.paths).select("project", F.col("path").alias("path_relative"))
-    return contracts.unknown_files(found, index).groupBy("project").agg(F.count("*").alias("n"))
+    return contracts.check_known_files(t.findings, _index_paths(t), "code_project").drop("message")
+
+
+@query("val_b1_verdicts")
+def _(t):
+    """Verdicts of the manifests with their files looked up."""
+    found = contracts.check_contract_b(t.manifests, t.findings, _index_paths(t), "code_project")
+    return contracts.verdicts(t.manifests, found)
 
 
 @query("val_b7_ids")
@@ -811,7 +833,7 @@ def _(t):
     name = hashlib.sha256(t.sf_dir.encode()).hexdigest()[:12]
     location = f"{t.spark.sparkContext.getCheckpointDir()}/snapshots-{name}"
     snapshots.write_snapshot(t.index, location, "2024-05-01")
-    return snapshots.read_snapshot(t.spark, location).select("project", "project_hash", "path", "hash")
+    return snapshots.read_snapshot(t.spark, location).select("project", "project_hash", "last_scan", "path", "hash")
 
 
 @query("snk_3_suggestions")

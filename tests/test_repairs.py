@@ -81,3 +81,37 @@ def test_report_files(spark, tmp_path):
 def test_statement_texts(spark, code):
     rows = structure.statements(code({"a.js": "let s = 'a;b';\nlet r = x / 2; let q = y / 3;\n"})).collect()
     assert [r.text for r in rows] == ["let s = 'a;b';", "let r = x / 2;", "let q = y / 3;"]
+
+
+def test_patches_are_chosen_like_one_walk_over_them(spark):
+    """Many random patches, some without a range, on two files, against a loop; a file takes any number of them."""
+    import random
+    draw = random.Random(6)
+    lines = {"a.js": [f"a{k}" for k in range(9_000)], "b.js": ["one", "two"]}
+    patches = []
+    for n in range(4_000):
+        start = draw.choice([draw.randint(-1, 9_100), None])
+        patches.append(("p", draw.choice(["a.js", "a.js", "b.js"]), start, None if start is None else start + draw.randint(-1, 4), f"id{n}", f"new{n}\nmore"))
+    files = spark.createDataFrame([("p", f, "\n".join(x)) for f, x in lines.items()], "project string, path string, content string")
+    rows = spark.createDataFrame(patches, "project string, file_path string, line_start int, line_end int, id string, patch string")
+    got = {r.path: r for r in report.splice(files, rows).collect()}
+    for name, old in lines.items():
+        end, new, applied, all_ = 0, [], 0, [p for p in patches if p[1] == name]
+        for _, _, first, last, _, patch in sorted(all_, key=lambda p: (p[2] is not None, p[2] or 0, p[4])):
+            if first is not None and max(end, 0) < first <= last:
+                new += old[end:first - 1] + patch.split("\n")
+                end, applied = last, applied + 1
+        assert got[name].content == "\n".join(new + old[end:])
+        assert (got[name].applied, got[name].rejected) == (applied, len(all_) - applied)
+
+
+def test_files_outside_the_index_are_violations(spark):
+    from sourceassay.operators import contracts
+    findings = spark.createDataFrame([("m", "1", "x.js", "code"), ("m", "2", "y.js", "code"), ("n", "3", "x.js", "code")],
+                                     "project string, idx string, file_path string, owner string")
+    index = spark.createDataFrame([("code", "x.js")], "project string, path_relative string")
+    found = contracts.check_known_files(findings, index, "owner")
+    assert [(r.project, r.entity, r.idx, r.field, r.rule, r.level) for r in found.collect()] == [("m", "finding", "2", "file_path", "B-001", "ERROR")]
+    heads = spark.createDataFrame([("m",), ("n",)], "project string")
+    assert {r.project: r.is_valid for r in contracts.verdicts(heads, found).collect()} == {"m": False, "n": True}
+    assert {r.idx: r.is_valid for r in contracts.with_validity(findings, found).collect()} == {"1": False, "2": False, "3": True}
