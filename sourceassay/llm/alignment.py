@@ -21,6 +21,7 @@ B's merges never reach over such a place, so ids of units in order are the ids o
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import lru_cache
 
@@ -60,6 +61,7 @@ class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         self.a = tokenizers.Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -149,6 +151,10 @@ class _Lists:
         self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
+    def keep(self, units: np.ndarray) -> None:
+        self.flat, sizes = self.take(units)
+        self.at = np.r_[0, np.cumsum(sizes)]
+
     def take(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Elements of the units in order, and their numbers."""
         sizes = self.at[units + 1] - self.at[units]
@@ -169,6 +175,7 @@ class Units:
         self.text: list[str] = []
         self.a, self.b, self.pair, self.links = _Lists(np.int32), _Lists(np.int32), _Lists(np.int64), _Lists(np.int64)
         self.groups, self.ok, self.open = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        self.used = np.zeros(0, np.int64)
         self.bytes = 0
 
     def look_up(self, pieces: list[str]) -> np.ndarray:
@@ -176,11 +183,25 @@ class Units:
         new = list(dict.fromkeys(p for p in pieces if p not in self.place))
         if new:
             self._add(new)
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.used += np.bincount(places, minlength=len(self.used))
+        return places
 
     def trim(self) -> None:
-        if len(self.text) > UNITS or self.bytes > UNIT_BYTES:
-            self.clear()
+        """Forget the units that were used least once there are too many; half of them stay at most."""
+        if len(self.text) <= UNITS and self.bytes <= UNIT_BYTES:
+            return
+        pieces = list(self.place)
+        best = np.argsort(-self.used, kind="stable")[:UNITS // 2]
+        best = best[self.used[best] > 1]
+        sizes = np.cumsum([len(pieces[k]) for k in best.tolist()])
+        kept = np.sort(best[sizes <= UNIT_BYTES // 2])
+        self.place = {pieces[k]: n for n, k in enumerate(kept.tolist())}
+        self.text = [self.text[k] for k in kept.tolist()]
+        for lists in (self.a, self.b, self.pair, self.links):
+            lists.keep(kept)
+        self.groups, self.ok, self.open, self.used = self.groups[kept], self.ok[kept], self.open[kept], self.used[kept] // 2
+        self.bytes = sum(map(len, self.place))
 
     def _add(self, new: list[str]) -> None:
         tok = self.tok
@@ -188,14 +209,20 @@ class Units:
         sizes_a, sizes_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
         ids_a, ids_b = np.array([i for x in a for i in x], np.int64), np.array([i for x in b for i in x], np.int64)
         want = [b" " + p.encode("utf-8", "surrogatepass") for p in new]
-        ok = np.array([b"".join(map(tok.a_bytes.__getitem__, x)) == w == b"".join(map(tok.b_bytes.__getitem__, y))
-                       for x, y, w in zip(a, b, want)], bool)
+        sizes = np.array([len(w) for w in want])
+        ok = ((np.bincount(np.repeat(np.arange(len(new)), sizes_a), tok.a_sizes[ids_a], len(new)) == sizes)
+              & (np.bincount(np.repeat(np.arange(len(new)), sizes_b), tok.b_sizes[ids_b], len(new)) == sizes))
+        joined = b"".join(want)
+        if not (ok.all() and b"".join(map(tok.a_bytes.__getitem__, ids_a.tolist())) == joined
+                == b"".join(map(tok.b_bytes.__getitem__, ids_b.tolist()))):
+            ok = np.array([b"".join(map(tok.a_bytes.__getitem__, x)) == w == b"".join(map(tok.b_bytes.__getitem__, y))
+                           for x, y, w in zip(a, b, want)], bool)
         # Units whose bytes differ have no groups: their tokens are left out below.
         in_a, in_b = np.repeat(ok, sizes_a), np.repeat(ok, sizes_b)
         good_a, good_b = ids_a[in_a], ids_b[in_b]
         ends_a, ends_b = np.cumsum(tok.a_sizes[good_a]), np.cumsum(tok.b_sizes[good_b])
         ends = common_ends(ends_a, ends_b)
-        unit_ends = np.cumsum(np.array([len(w) for w in want])[ok])
+        unit_ends = np.cumsum(sizes[ok])
         unit = np.flatnonzero(ok)[np.searchsorted(unit_ends, ends)]
         texts = group_texts(good_a, np.searchsorted(ends_a, ends, "right"), good_b, np.searchsorted(ends_b, ends, "right"))
         owner, pair, links = group_links(np.searchsorted(ends, ends_a), good_a, np.searchsorted(ends, ends_b), good_b,
@@ -214,6 +241,7 @@ class Units:
         self.groups = np.concatenate([self.groups, groups])
         self.ok = np.concatenate([self.ok, ok])
         self.open = np.concatenate([self.open, [not p or p[-1].isspace() for p in new]])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.bytes += sum(map(len, new))
 
     def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -77,6 +77,19 @@ def test_op12_matches_brute_force(spark, both, chunk, fan, heads):
         assert r[name]["groups_sha256"] == (hashlib.sha256(r[name]["groups"].encode()).hexdigest() if r[name]["groups"] else "")
 
 
+def test_forgotten_units(both, monkeypatch):
+    """Units that are forgotten and met again have the same ids, and what is kept stays in place."""
+    monkeypatch.setattr(alignment, "UNITS", 6)
+    units, draw = alignment.Units(both), random.Random(2)
+    for _ in range(30):
+        text = " ".join(draw.choices(["the", "straße", "foo", "x\n", "漢字", "barbaz", "qux", "a", "b", "c"], k=12))
+        places, _ = units.of_texts([text])
+        assert units.a.take(places)[0].tolist() == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert units.b.take(places)[0].tolist() == both.b.encode(text)
+        units.trim()
+        assert len(units.text) <= 6 or len(units.text) == len(units.place) == len(units.used)
+
+
 def test_composition_is_associative(both):
     """Any bracketing of the ranges' fragments gives the same groups."""
     text = " ".join(["straßenbahn", "tokenizers", "漢字漢字", "supercalifragilistic"] * 8)
