@@ -13,7 +13,7 @@ import re
 from sourceassay import fixed_values as fv
 from sourceassay.operators.rules import CATALOGUE
 from sourceassay.operators.signatures import NODE_PATTERNS
-from sourceassay.plans import demo_corpus, demo_findings
+from sourceassay.plans import demo_corpus, demo_findings, demo_flows
 
 SQL: dict[str, str] = {}
 
@@ -168,7 +168,7 @@ CTES = {
 
 
 #: Building blocks that several parts of a query read.
-MATERIALIZED = {"nodes", "spans"}
+MATERIALIZED = {"nodes", "spans", "flow_body", "flow_reads", "flow_edges"}
 
 
 def _needs(sql: str, names: list[str]) -> list[str]:
@@ -817,6 +817,78 @@ add("set_2_merge_findings", f"""
     SELECT code_project AS project, file_path, line_start, vulnerability_class, severity, NULL AS track FROM findings
     UNION ALL SELECT project, path, line_start, vulnerability_class, {_WSEV}, 'web3' FROM web3""")
 
+# --- signatures over flows ---------------------------------------------------------------------------------------
+
+CTES["flow_files"] = demo_flows.flow_files_sql()
+CTES["flow_lines"] = f"""SELECT project, path, line, text AS raw, trim(text) AS text, regexp_matches(text, '^(async )?function ') AS is_head
+    FROM ({_lines('flow_files')})"""
+CTES["flow_fns"] = r"""SELECT project, path, line AS fn, regexp_extract(text, 'function (\w+)', 1) AS name,
+    string_split(regexp_extract(text, '\(([^)]*)\)', 1), ', ') AS params FROM flow_lines WHERE is_head"""
+CTES["flow_body"] = r"""SELECT project, path, fn, line, mutated, owned, checks, awaits, bound, raw LIKE '        %' AS deep, var, text LIKE '% += %' AS updates,
+      CASE WHEN var IS NULL THEN text ELSE regexp_extract(text, ' \+?= (.*)$', 1) END AS rhs,
+      CASE WHEN var IS NOT NULL THEN 'd' || line WHEN text LIKE 'return%' THEN 'r' || fn END AS defines
+    FROM (SELECT *, max(CASE WHEN is_head THEN line END) OVER (PARTITION BY project, path ORDER BY line) AS fn,
+        nullif(regexp_extract(text, '^(?:const |let )?(\w+) \+?= ', 1), '') AS var,
+        nullif(regexp_extract(text, '^(\w+)(\.\w+)*\.(balance|credits) -?\+?= ', 1), '') AS mutated,
+        nullif(regexp_extract(text, '^if \((\w+)\.owner', 1), '') AS owned, text LIKE 'if (%' AS checks,
+        contains(text, 'await ') AS awaits, nullif(regexp_extract(text, '^if \(([\w.]+) [<>]', 1), '') AS bound FROM flow_lines)
+    WHERE NOT is_head"""
+CTES["flow_defs"] = """SELECT project, path, fn, line, var, defines AS node FROM flow_body WHERE var IS NOT NULL
+    UNION ALL SELECT project, path, fn, fn, unnest(params), 'p' || fn || '.' || (generate_subscripts(params, 1) - 1) FROM flow_fns"""
+CTES["flow_called"] = r"""SELECT b.*, f.fn AS callee, f.params AS own_params, string_split(regexp_extract(rhs, '\b\w+\(([^)]*)\)', 1), ', ') AS passed
+    FROM flow_body b JOIN flow_fns f ON f.project = b.project AND f.path = b.path AND f.name = regexp_extract(rhs, '\b(\w+)\(', 1)"""
+CTES["flow_names"] = r"""SELECT *, CAST(NULL AS VARCHAR) AS target FROM (SELECT *, unnest(list_distinct(regexp_extract_all(rhs, '(?:^|[ (!])(req\.body\.\w+|[a-z]\w*)', 1)
+        || CASE WHEN var IS NOT NULL AND (updates OR deep) THEN [var] ELSE [] END)) AS name FROM flow_body)
+    UNION ALL SELECT * EXCLUDE (callee, own_params, passed), unnest(passed), 'p' || callee || '.' || (generate_subscripts(passed, 1) - 1) FROM flow_called"""
+CTES["flow_reads"] = """SELECT n.*, CASE WHEN n.name LIKE 'req.body.%' THEN 'b' || n.fn || '.' || n.name ELSE coalesce(d.node, 'v' || n.fn || '.' || n.name) END AS node
+    FROM flow_names n ASOF LEFT JOIN flow_defs d ON d.project = n.project AND d.path = n.path AND d.fn = n.fn AND d.var = n.name AND n.line > d.line
+    UNION ALL SELECT * EXCLUDE (callee, own_params, passed), NULL, NULL, 'r' || callee FROM flow_called"""
+CTES["flow_edges"] = """SELECT DISTINCT project, path, fn, line, node, coalesce(target, defines) AS dst FROM flow_reads WHERE coalesce(target, defines) IS NOT NULL"""
+CTES["flow_copies"] = r"""SELECT project, path, fn, line, defines AS node, node AS dst FROM flow_reads
+    WHERE var IS NOT NULL AND target IS NULL AND NOT deep AND NOT updates AND regexp_matches(rhs, '^[a-z]\w*;$')"""
+
+
+def _reach(seeds: str, edges: str) -> str:
+    return f"""SELECT DISTINCT project, path, source, home, node, pos FROM ({seeds})
+        UNION SELECT s.project, s.path, s.source, s.home, e.dst, CASE WHEN e.fn = s.home THEN e.line ELSE s.pos END
+        FROM flow_states s JOIN {edges} e ON e.project = s.project AND e.path = s.path AND e.node = s.node"""
+
+
+_TOUCHED = """SELECT s.source, s.home, CASE WHEN r.fn = s.home THEN r.line ELSE s.pos END AS at, r.* FROM flow_states s
+    JOIN flow_reads r ON r.project = s.project AND r.path = s.path AND r.node = s.node WHERE r.target IS NULL"""
+add("sig_3_flow_broken_access_control", """
+    SELECT a.project, a.path, f.name AS fn, 'BROKEN_ACCESS_CONTROL' AS vulnerability_class, a.line AS line_start, a.line AS line_end
+    FROM flow_asked a JOIN flow_fns f ON f.project = a.project AND f.path = a.path AND f.fn = a.fn
+    WHERE a.changes AND NOT EXISTS (SELECT 1 FROM flow_asked o WHERE o.project = a.project AND o.path = a.path AND o.fn = a.fn AND o.root = a.root
+      AND NOT o.changes AND o.line < a.line)""",
+    flow_states=_reach("SELECT project, path, node AS source, fn AS home, node, -1 AS pos FROM flow_reads "
+                       "WHERE target IS NULL AND (name = mutated OR name = owned)", "flow_copies"),
+    flow_ends="""SELECT * FROM flow_states s WHERE NOT EXISTS (SELECT 1 FROM flow_copies c WHERE c.project = s.project AND c.path = s.path
+      AND c.node = s.node)""",
+    flow_asked="""SELECT DISTINCT r.project, r.path, r.fn, r.line, coalesce(r.name = r.mutated, false) AS changes, e.node AS root FROM flow_reads r
+      JOIN flow_ends e ON e.project = r.project AND e.path = r.path AND e.source = r.node
+      WHERE r.target IS NULL AND (r.name = r.mutated OR r.name = r.owned)""")
+add("sig_5_flow_unchecked_external_call", """
+    SELECT c.project, c.path, f.name AS fn, 'UNCHECKED_EXTERNAL_CALL' AS vulnerability_class, c.line AS line_start, c.until AS line_end
+    FROM flow_awaited c JOIN flow_fns f ON f.project = c.project AND f.path = c.path AND f.fn = c.fn
+    WHERE NOT EXISTS (SELECT 1 FROM flow_touched t WHERE t.project = c.project AND t.path = c.path AND t.source = c.defines AND t.checks AND t.at <= c.until)""",
+    flow_states=_reach("SELECT project, path, defines AS source, fn AS home, defines AS node, line AS pos FROM flow_body "
+                       "WHERE awaits AND var IS NOT NULL", "flow_edges"),
+    flow_touched=_TOUCHED,
+    flow_awaited="""SELECT b.project, b.path, b.fn, b.line, b.defines, min(m.line) AS until FROM flow_body b JOIN flow_body m ON m.project = b.project
+      AND m.path = b.path AND m.fn = b.fn AND m.line > b.line AND m.mutated IS NOT NULL WHERE b.awaits AND NOT b.checks GROUP BY ALL""")
+add("sig_9_flow_missing_validation", """
+    SELECT DISTINCT m.project, m.path, f.name AS fn, 'MISSING_VALIDATION' AS vulnerability_class, s.line AS line_start, m.line AS line_end,
+      string_split(m.source, '.')[-1] AS field
+    FROM flow_touched m JOIN flow_starts s ON s.project = m.project AND s.path = m.path AND s.source = m.source
+    JOIN flow_fns f ON f.project = m.project AND f.path = m.path AND f.fn = m.home
+    WHERE m.mutated IS NOT NULL AND NOT EXISTS (SELECT 1 FROM flow_touched c WHERE c.project = m.project AND c.path = m.path AND c.source = m.source
+      AND c.bound = c.name AND (c.at < m.at OR c.at = m.at AND c.fn = m.fn AND c.line < m.line))""",
+    flow_states=_reach("SELECT project, path, node AS source, fn AS home, node, -1 AS pos FROM flow_reads WHERE node LIKE 'b%' AND target IS NULL",
+                       "flow_edges"),
+    flow_touched=_TOUCHED,
+    flow_starts="SELECT project, path, node AS source, fn, min(line) AS line FROM flow_reads WHERE node LIKE 'b%' AND target IS NULL GROUP BY ALL")
+
 # --- sinks ---------------------------------------------------------------------------------------------------------
 
 add("snk_1_report_json", """

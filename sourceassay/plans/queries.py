@@ -14,9 +14,9 @@ from sourceassay import fixed_values as fv
 from sourceassay.functions import findings as fn
 from sourceassay.functions import paths, text
 from sourceassay.functions.sizing import number_rows
-from sourceassay.operators import contracts, corpus, facts, report, rules, signatures, snapshots
+from sourceassay.operators import contracts, corpus, dataflow, facts, report, rules, signatures, snapshots
 from sourceassay.operators import solidity_index, structure
-from sourceassay.plans import demo_corpus, demo_findings
+from sourceassay.plans import demo_corpus, demo_findings, demo_flows
 from sourceassay.session import ensure_checkpoint_dir, tune
 from sourceassay.sources import documents, scan
 
@@ -57,6 +57,10 @@ class Tables:
     def script(self) -> DataFrame:
         return self.code.where(F.col("ext").isin(".js", ".ts", ".jsx", ".tsx"))
 
+    @property
+    def flow(self) -> dataflow.Flow:
+        return dataflow.flow(demo_flows.flow_files(self.spark, self.sf_dir))
+
     @property
     def general(self) -> DataFrame:
         return corpus.decode_files(corpus.candidates(self.files))[0]
@@ -808,6 +812,21 @@ for _number, _name in enumerate(_WEB3_SIGNATURES, 12):
     _web3_signature(_number, _name)
 
 
+@query("sig_3_flow_broken_access_control")
+def _(t):
+    return dataflow.broken_access_control(t.flow)
+
+
+@query("sig_5_flow_unchecked_external_call")
+def _(t):
+    return dataflow.unchecked_external_call(t.flow)
+
+
+@query("sig_9_flow_missing_validation")
+def _(t):
+    return dataflow.missing_validation(t.flow)
+
+
 @query("sig_0_fn_nodes")
 def _(t):
     return signatures.fn_nodes(t.script).select("project", "path", "fn", "line", "kind", "target", "op")
