@@ -4,7 +4,7 @@ A value lives in a node: a definition (``d<seq>``), a parameter (``p<fn>.<nth>``
 of the request body (``b<fn>.<name>``), or a name the function doesn't define (``v<fn>.<name>``).  Every read of a name points
 to the nearest definition in front of it, found by a window, so there are no more edges than reads.  Calls lead from
 arguments to the parameters of the functions of that name in the same file, returns lead back.  What a source reaches is
-the least fixpoint of a frontier that is written out after every round; each round joins only new states.
+the least fixpoint of a frontier that is written out after every few steps; each round joins only new states.
 
 The reading is lexical.  A definition inside a block of its function may not happen, so it keeps the value before it as well.
 Unnamed functions belong to the function around them; code outside of functions is a function of its own.  Destructuring
@@ -44,8 +44,8 @@ _HEADS = (
 #: a state is (file, source, its function, node, place in the source's function)
 _STATE = ["project", "path", "source", "home", "node", "pos"]
 _FILE = ["project", "path"]
-#: rounds after which the pieces of a fixpoint are written as one
-_COMPACT = 8
+#: steps between two writes of a frontier, and rounds after which the pieces of a fixpoint are written as one
+_STEPS, _COMPACT = 3, 8
 
 
 class Flow(NamedTuple):
@@ -70,7 +70,7 @@ def _named(fragment: Column) -> Column:
 
 def flow_statements(files: DataFrame) -> DataFrame:
     """Statements of script files with their function and what they define, change and check."""
-    script = files.where(F.col("language").isin(*rules.SCRIPT)).select("project", "path", "language", "content").distinct()
+    script = files.where(F.col("language").isin(*rules.SCRIPT)).select("project", "path", "language", "content")
     rows = structure.statements(script, wanted=lambda part: part.rlike(r"[=(]|\breturn\b"), scoped=True)
     text = F.regexp_replace(F.col("text"), r"\"[^\"]*\"|'[^']*'", '""')
     mine = F.array_max(F.filter("inside", lambda b: b["is_function"] & (_head(b["header"], 1) != "")))
@@ -164,10 +164,13 @@ def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     reached = frontier = seeds.select(*_STATE).distinct().checkpoint()
     rounds = 0
     while not frontier.isEmpty():
-        step = frontier.join(edges, [*_FILE, "node"]).select(
-            *_FILE, "source", "home", F.col("to").alias("node"),
-            F.when(F.col("fn_seq") == F.col("home"), F.col("seq")).otherwise(F.col("pos")).alias("pos")).distinct()
-        frontier = step.join(reached, _STATE, "left_anti").checkpoint()
+        step, found = frontier, None
+        for _ in range(_STEPS):
+            step = step.join(edges, [*_FILE, "node"]).select(
+                *_FILE, "source", "home", F.col("to").alias("node"),
+                F.when(F.col("fn_seq") == F.col("home"), F.col("seq")).otherwise(F.col("pos")).alias("pos"))
+            found = step if found is None else found.unionByName(step)
+        frontier = found.distinct().join(reached, _STATE, "left_anti").checkpoint()
         reached = reached.unionByName(frontier)
         rounds += 1
         if rounds % _COMPACT == 0:
@@ -210,7 +213,7 @@ def unchecked_external_call(f: Flow) -> DataFrame:
     calls = (
         f.statements.withColumn("next", F.last(changed, ignorenulls=True).over(ahead))
         .where("awaits and not checks and not returns and next is not null")
-        .select(*_FILE, "fn", "fn_seq", "seq", "line", "next", col("defines").alias("source"))
+        .select(*_FILE, "fn", "fn_seq", "seq", "line", "next", col("defines").alias("source")).distinct()
     )
     seeds = calls.where("source is not null").select(
         *_FILE, "source", col("fn_seq").alias("home"), col("source").alias("node"), col("seq").alias("pos"))
