@@ -3,11 +3,16 @@
 A notice may be written with a few errors.  By the pigeonhole principle one of ``errors + 1`` parts of the notice
 then stands in the text unchanged: an automaton finds all such seeds in one pass over the text, each seed
 points at the window in which its notice may lie, and the regex library's bounded-error matching
-verifies the window and gives the span.  Phrases of consecutive words are found exactly besides.
+verifies the window and gives the span.  Windows that share too few 4-grams with the notice to hold it are passed over (the
+q-gram lemma: no match is lost).  Notices are searched in a view of the text in which white space and the marks at the beginnings of lines
+are one space, and spans are mapped back.  Phrases of consecutive words are found exactly besides.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -42,6 +47,9 @@ CHARS_PER_ERROR, MOST_ERRORS = 10, 6
 FOUND = ("struct<n_words:long,places:array<struct<word:long,label:string>>,"
          "spans:array<struct<start:long,end:long,label:string,errors:int>>,score:double>")
 
+#: White space; behind a line break also what comments begin their lines with.
+_GAP = regex.compile(r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D/*#;%|>!-]*|[\x20\x09-\x0D]+")
+_GRAM = 4
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -55,6 +63,41 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+class View:
+    """A text with one space for each gap, and the way back to places of the text."""
+
+    def __init__(self, text: str):
+        self.at, self.gaps, parts, done, size = [], [], [], 0, 0
+        for gap in _GAP.finditer(text):
+            a, b = gap.span()
+            if b - a > 1 or text[a] != " ":
+                parts += (text[done:a], " ")
+                size += a - done + 1
+                done = b
+                self.at.append(size - 1)
+                self.gaps.append((a, b))
+        parts.append(text[done:])
+        self.text = "".join(parts)
+
+    def start(self, place: int) -> int:
+        """Where the character at ``place`` of the view begins in the text."""
+        k = bisect_left(self.at, place)
+        if k < len(self.at) and self.at[k] == place:
+            return self.gaps[k][0]
+        return place if k == 0 else self.gaps[k - 1][1] + place - self.at[k - 1] - 1
+
+    def end(self, place: int) -> int:
+        """Where the character in front of ``place`` ends in the text."""
+        k = bisect_left(self.at, place - 1)
+        if k < len(self.at) and self.at[k] == place - 1:
+            return self.gaps[k][1]
+        return self.start(place - 1) + 1
+
+
+def _grams(text: str) -> Counter:
+    return Counter(text[i : i + _GRAM] for i in range(len(text) - _GRAM + 1))
+
+
 class Notices:
     """Automaton of all seeds, and a bounded-error pattern for each notice."""
 
@@ -64,6 +107,9 @@ class Notices:
         # BESTMATCH: of the matches in a window the one with the fewest errors.
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}")
                          for (n, _), e in zip(self.notices, self.errors)]
+        self.grams = [_grams(n) for n, _ in self.notices]
+        # An error breaks at most _GRAM of a notice's grams.
+        self.shared = [len(n) - _GRAM + 1 - _GRAM * e for (n, _), e in zip(self.notices, self.errors)]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _) in enumerate(self.notices):
             for offset, part in seeds(notice, self.errors[k]):
@@ -75,8 +121,13 @@ class Notices:
             self.automaton.make_automaton()
         self.any = bool(found)
 
+    def _can_hold(self, k: int, window: str) -> bool:
+        return self.shared[k] <= 0 or (self.grams[k] & _grams(window)).total() >= self.shared[k]
+
     def spans(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, errors) of the notices in a lower-cased text, by place; non-overlapping for each notice."""
+        view = View(text)
+        text = view.text
         starts: dict[int, set[int]] = {}
         if self.any and text:
             for last, (size, uses) in self.automaton.iter(text):
@@ -87,9 +138,11 @@ class Notices:
             (notice, label), errors, done = self.notices[k], self.errors[k], 0
             for place in sorted(places):
                 low, high = max(done, place - errors), min(len(text), place + len(notice) + errors)
-                match = self.patterns[k].search(text, low, high) if high - low >= len(notice) - errors else None
+                if high - low < len(notice) - errors or not self._can_hold(k, text[low:high]):
+                    continue
+                match = self.patterns[k].search(text, low, high)
                 if match:
-                    out.append((match.start(), match.end(), label, sum(match.fuzzy_counts)))
+                    out.append((view.start(match.start()), view.end(match.end()), label, sum(match.fuzzy_counts)))
                     done = match.end()
         return sorted(out)
 
@@ -109,7 +162,7 @@ def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
     return sorted(out)
 
 
-def _scanner(notices: dict[str, str], phrases: dict[str, str], at: int):
+def _scanner(notices: dict[str, str], phrases: dict[str, str], at: int, name: str):
     kind = pa.struct([
         ("n_words", pa.int64()),
         ("places", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
@@ -130,22 +183,23 @@ def _scanner(notices: dict[str, str], phrases: dict[str, str], at: int):
                 rows.append({"n_words": len(words), "places": [{"word": w, "label": x} for w, x in places],
                              "spans": [{"start": a, "end": b, "label": x, "errors": e} for a, b, x, e in spans], "score": score})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)],
-                                             names=[*batch.schema.names, "found"])
+                                             names=[*batch.schema.names, name])
     return run
 
 
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES) -> tuple[DataFrame, str]:
     """``docs`` with all columns and a struct of words, phrase places and notice spans; and that struct's name.
 
-    Spans count code points, end exclusive, with the notice's label and its number of errors.  ``score`` is 1 with a
+    Spans count code points of the whole text, end exclusive, with the notice's label and its number of errors; line breaks, repeated
+    blanks and comment marks at the beginnings of lines are no errors.  ``score`` is 1 with a
     phrase, else the best share of a notice that is free of errors, else 0.  A null or empty text has nothing.  Where
-    windows of one notice overlap, the earlier match stays; different notices may overlap.  Repeated
-    rows give repeated results.  Work follows the length of the text and the seeds found; the notices are a
+    windows of one notice overlap, the earlier match stays; different notices may overlap, those with equal spans are
+    sorted by label.  Repeated rows give repeated results, an empty table none; a column ``found`` of ``docs`` stays, the struct gets another name.  Work follows the length of the text and the seeds found; the notices are a
     parameter of the call, not data.
     """
     name = free_name(docs, "found")
     schema = docs.withColumn(name, F.lit(None).cast(FOUND)).schema
-    return docs.mapInArrow(_scanner(notices, phrases, docs.columns.index("text")), schema), name
+    return docs.mapInArrow(_scanner(notices, phrases, docs.columns.index("text"), name), schema), name
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
