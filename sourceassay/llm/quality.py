@@ -185,13 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None, most_rows: int = T
     return Network({k: found[k].reshape(v.shape) for k, v in Network.fresh().w.items()}) if found else None
 
 
-def _scorer(model, at: int):
+def _scorer(model, at: int, name: str):
     def run(batches):
         net = model.value
         for batch in (part for b in batches for part in slices(b, at, BLOCK_BYTES)):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             scores = probabilities(net, texts) if net else np.ones(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
     return tidy(run)
 
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, net: Network | None) -> tuple[DataFrame, str]:
     model = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
     schema = docs.withColumn(name, F.lit(0.0)).schema
     schema[name].nullable = True
-    return docs.mapInArrow(_scorer(model, docs.columns.index("text")), schema), name
+    return docs.mapInArrow(_scorer(model, docs.columns.index("text"), name), schema), name
 
 
 def may_learn():

@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None, most_rows: int = T
     return {r.feature: r.weight for r in sample.mapInArrow(_train, "feature long, weight double").collect()}
 
 
-def _scorer(model, at: int):
+def _scorer(model, at: int, name: str):
     def run(batches):
         hashes, weights = WordHashes(), np.zeros(1 << BITS)
         for k, w in model.value.items():
@@ -89,7 +89,7 @@ def _scorer(model, at: int):
                 found = features(hashes.of(word_list(text, ALNUM)))
                 found = np.unique(np.append(found[weights[found] != 0], BIAS))
                 scores.append(_sigmoid(weights[found].sum()) if model.value else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
     return tidy(run)
 
 
@@ -102,7 +102,7 @@ def score(docs: DataFrame, weights: dict[int, float]) -> tuple[DataFrame, str]:
     model = docs.sparkSession.sparkContext.broadcast(weights)  # at most 2**BITS numbers
     schema = docs.withColumn(name, F.lit(0.0)).schema
     schema[name].nullable = True
-    return docs.mapInArrow(_scorer(model, docs.columns.index("text")), schema), name
+    return docs.mapInArrow(_scorer(model, docs.columns.index("text"), name), schema), name
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
