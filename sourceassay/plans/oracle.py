@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 
 from sourceassay import fixed_values as fv
+from sourceassay.operators import contracts
 from sourceassay.operators.rules import CATALOGUE
 from sourceassay.operators.signatures import NODE_PATTERNS
-from sourceassay.plans import demo_corpus, demo_findings, demo_flows
+from sourceassay.plans import demo_corpus, demo_findings, demo_flows, demo_payloads
 
 SQL: dict[str, str] = {}
 
@@ -727,6 +728,135 @@ for _name, _code in (("val_b6_count", "B-006"), ("val_b8_tracks", "B-008"), ("va
 add("val_b13_request_metadata", "SELECT * FROM badheads WHERE rule = 'B-013' UNION ALL SELECT * FROM badfindings WHERE rule = 'B-013'")
 add("val_b14_valid_manifest", "SELECT project, idx, id, coalesce(confidence, 0.5) AS confidence FROM valid")
 
+# --- contract checks over JSON: own lists of (field, rule, problem, condition) on the document or element ``e`` ------------
+
+_INT, _NUM, _STR = "('BIGINT', 'UBIGINT')", "('BIGINT', 'UBIGINT', 'DOUBLE')", "('VARCHAR')"
+
+
+def _typed(field: str, rule: str, types: str, *more: tuple[str, str], missing: str = "", nullable: bool = False) -> list[tuple[str, ...]]:
+    """A field's type, its presence if ``missing`` names a rule, and more conditions where the type is right."""
+    name = field.rpartition(".")[2]
+    kind = f"json_type(e, '$.{field}')"
+    wrong = types if not nullable else types[:-1] + ", 'NULL')"
+    found = [(name, missing, "missing", f"{kind} IS NULL")] if missing else []
+    found.append((name, rule, "type", f"{kind} NOT IN {wrong}"))
+    return found + [(name, more_rule or rule, problem, f"{kind} IN {types} AND ({test.replace('@', f'json_extract_string(e, {chr(39)}$.{field}{chr(39)})')})")
+                    for problem, test, more_rule in ((*m, "")[:3] for m in more)]
+
+
+def _outside(values) -> tuple[str, str]:
+    return "value", f"@ NOT IN {_in(values)}"
+
+
+_HEX = ("pattern", "NOT regexp_full_match(@, '[a-f0-9]{64}')")
+_META, _REQ = "analysis_metadata", "request_metadata"
+_JSON_CHECKS = {
+    "A": {
+        "payload": [
+            *_typed("project_identifier", "A-006", _STR, _HEX, missing="A-006"),
+            *_typed("files", "A-001", "('ARRAY')", ("minimum", "json_array_length(e, '$.files') = 0"), missing="A-001"),
+            *_typed("truncated", "A-007", "('BOOLEAN')", ("truncated", "@ = 'true'")),
+        ],
+        "file": [
+            *_typed("path_relative", "A-004", _STR, ("minimum", "@ = ''"), ("absolute", "regexp_matches(@, '^([a-zA-Z]:[\\\\/]|[\\\\/]|~)')"), missing="A-004"),
+            *_typed("language", "A-005", _STR, _outside(fv.LANGUAGES), missing="A-005"),
+            *_typed("hash", "A-008", _STR, ("minimum", "@ = ''"), missing="A-008"),
+            *_typed("stripped_content", "A-003", _STR, missing="A-003"),
+            *_typed("original_size", "A-008", _INT, ("minimum", "CAST(@ AS BIGINT) < 0"), missing="A-008"),
+            *_typed("stripped_size", "A-008", _INT, ("minimum", "CAST(@ AS BIGINT) < 0"), missing="A-008"),
+            *_typed("is_test_file", "A-008", "('BOOLEAN')"),
+        ],
+    },
+    "B": {
+        "payload": [
+            *_typed("contract_version", "B-011", _STR, ("pattern", "NOT regexp_full_match(@, '1[.][0-9]+[.][0-9]+')"), missing="B-011"),
+            *_typed("project_hash", "B-011", _STR, _HEX, missing="B-011"),
+            *_typed("generated_at", "B-011", _STR, ("pattern", "NOT regexp_full_match(@, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]{8,}Z')"), missing="B-011"),
+            *_typed("findings", "B-006", "('ARRAY')", missing="B-006"),
+            *_typed(_META, "B-012", "('OBJECT')", missing="B-012"),
+            *[(f, r, p, f"json_type(e, '$.{_META}') = 'OBJECT' AND {c}") for f, r, p, c in (
+                *_typed(f"{_META}.scanner_version", "B-012", _STR, ("minimum", "@ = ''"), missing="B-012"),
+                *_typed(f"{_META}.files_analyzed", "B-012", _INT, ("minimum", "CAST(@ AS BIGINT) < 0"), missing="B-012"),
+                *_typed(f"{_META}.analysis_duration_seconds", "B-012", _NUM, ("minimum", "CAST(@ AS DOUBLE) < 0"), missing="B-012"),
+                *_typed(f"{_META}.target_tracks", "B-008", "('ARRAY')", ("minimum", f"json_array_length(e, '$.{_META}.target_tracks') = 0"),
+                        ("value", f"len(list_filter(from_json(json_extract(e, '$.{_META}.target_tracks'), '[\"JSON\"]'), "
+                                  "lambda x: CAST(x AS VARCHAR) NOT IN ('\"web2\"', '\"web3\"', '\"quant\"'))) > 0"), missing="B-008"))],
+            *_typed(_REQ, "B-013", "('OBJECT')", nullable=True),
+            *_typed(f"{_REQ}.client_version", "B-013", _STR),
+            *_typed(f"{_REQ}.user_id", "B-013", _STR),
+            *_typed(f"{_REQ}.preferred_model", "B-013", _STR, _outside(fv.PREFERRED_MODELS)),
+        ],
+        "finding": [
+            *_typed("id", "B-007", _STR, ("pattern", "NOT regexp_full_match(@, 'FSA-[A-Z0-9]{3,10}-[0-9]{3,}')"), missing="B-000"),
+            *_typed("file_path", "B-010", _STR, ("minimum", "@ = ''"), missing="B-000"),
+            *_typed("line_start", "B-002", _INT, ("minimum", "CAST(@ AS BIGINT) < 1"), missing="B-000"),
+            *_typed("line_end", "B-002", _INT, ("minimum", "CAST(@ AS BIGINT) < 1"),
+                    ("order", f"json_type(e, '$.line_start') IN {_INT} AND TRY_CAST(e->>'$.line_start' AS BIGINT) BETWEEN 1 AND 9999 "
+                              "AND CAST(@ AS BIGINT) < TRY_CAST(e->>'$.line_start' AS BIGINT)"), missing="B-000"),
+            *_typed("vulnerability_class", "B-004", _STR, _outside(fv.VULNERABILITY_CLASSES), missing="B-000"),
+            *_typed("severity", "B-009", _STR, _outside(fv.SEVERITIES), missing="B-000"),
+            *_typed("code_snippet", "B-003", _STR, ("maximum", "length(@) > 4096"), ("absolute", "contains(@, '/home/')"), missing="B-000"),
+            *_typed("description", "B-010", _STR, ("minimum", "@ = ''"), ("maximum", "length(@) > 1000"), missing="B-000"),
+            *_typed("fix_principle", "B-010", _STR, ("minimum", "@ = ''"), ("maximum", "length(@) > 500"), missing="B-000"),
+            *_typed("confidence", "B-005", _NUM, ("minimum", "CAST(@ AS DOUBLE) < 0"), ("maximum", "CAST(@ AS DOUBLE) > 1"), nullable=True),
+            *_typed("false_positive_risk", "B-009", _STR, _outside(fv.FALSE_POSITIVE_RISKS), nullable=True),
+            *_typed("related_finding_ids", "B-013", "('ARRAY')",
+                    ("value", "len(list_filter(from_json(json_extract(e, '$.related_finding_ids'), '[\"JSON\"]'), lambda x: coalesce(json_type(x), 'NULL') <> 'VARCHAR')) > 0"),
+                    nullable=True),
+        ],
+    },
+}
+_JSON_ARRAYS = {"A": ("files", "file", "A-001"), "B": ("findings", "finding", "B-006")}
+for _c, (_array, _entity, _code) in _JSON_ARRAYS.items():
+    _low = _c.lower()
+    CTES[f"jdocs_{_low}"] = f"SELECT project, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS e FROM ({demo_payloads.payloads_sql(_c)})"
+    CTES[f"jelements_{_low}"] = (
+        f"SELECT project, idx, json_extract(e, '$.{_array}[' || idx || ']') AS e FROM (SELECT project, e, "
+        f"unnest(range(CAST(json_array_length(e, '$.{_array}') AS BIGINT))) AS idx FROM jdocs_{_low} WHERE json_type(e, '$.{_array}') = 'ARRAY')")
+    _parts = [
+        f"SELECT project, 'payload' AS entity, project AS idx, '{f}' AS field, '{r}' AS rule, "
+        f"'{'WARN' if p == 'truncated' else 'ERROR'}' AS level, '{p}' AS problem FROM jdocs_{_low} WHERE json_type(e) = 'OBJECT' AND {c}"
+        for f, r, p, c in _JSON_CHECKS[_c]["payload"]]
+    _parts += [f"SELECT project, 'payload', project, 'payload', '{_c}-000', 'ERROR', CASE WHEN e IS NULL THEN 'malformed' ELSE 'type' END "
+               f"FROM jdocs_{_low} WHERE coalesce(json_type(e), '') <> 'OBJECT'"]
+    _parts += [
+        f"SELECT project, '{_entity}', CAST(idx AS VARCHAR), '{f}', '{r}', 'ERROR', '{p}' FROM jelements_{_low} WHERE json_type(e) = 'OBJECT' AND {c}"
+        for f, r, p, c in _JSON_CHECKS[_c][_entity]]
+    _parts += [f"SELECT project, '{_entity}', CAST(idx AS VARCHAR), '{_array}', '{_code}', 'ERROR', 'type' FROM jelements_{_low} WHERE json_type(e) <> 'OBJECT'"]
+    if _c == "B":
+        _parts += ["SELECT project, 'finding', CAST(idx AS VARCHAR), 'id', 'B-007', 'ERROR', 'repeated' FROM (SELECT project, idx, row_number() OVER "
+                   "(PARTITION BY project, e->>'$.id' ORDER BY idx) AS use FROM jelements_b WHERE json_type(e, '$.id') = 'VARCHAR' AND "
+                   "regexp_full_match(e->>'$.id', 'FSA-[A-Z0-9]{3,10}-[0-9]{3,}')) WHERE use > 1"]
+    CTES[f"jbad_{_low}"] = " UNION ALL ".join(_parts)
+    add(f"val_json_{_low}_problems", f"SELECT * FROM jbad_{_low}")
+    _owners = [("''", "NULL", "e", f"jdocs_{_low}"), (f"'{_array}.'", "idx", "e", f"jelements_{_low}")]
+    if _c == "B":
+        _owners += [(f"'{m}.'", "NULL", f"json_extract(e, '$.{m}')", "jdocs_b") for m in (_META, _REQ)]
+    CTES[f"jkeys_{_low}"] = (
+        "SELECT project, idx, parent || k AS path, json_extract(o, '$.' || k) AS value FROM (SELECT project, idx, parent, o, unnest(json_keys(o)) AS k FROM ("
+        + " UNION ALL ".join(f"SELECT project, CAST({i} AS INTEGER) AS idx, {p} AS parent, {o} AS o FROM {t}" for p, i, o, t in _owners)
+        + ") WHERE json_type(o) = 'OBJECT')")
+MATERIALIZED |= {"jdocs_a", "jdocs_b", "jelements_a", "jelements_b"}
+add("val_json_verdicts", " UNION ALL ".join(
+    f"""SELECT d.project, '{c.upper()}' AS contract, count(b.rule) FILTER (WHERE level = 'ERROR') AS errors,
+      count(b.rule) FILTER (WHERE level = 'WARN') AS warnings, count(b.rule) FILTER (WHERE level = 'ERROR') = 0 AS is_valid
+    FROM jdocs_{c} d LEFT JOIN jbad_{c} b USING (project) GROUP BY d.project""" for c in "ab"))
+add("val_json_valid_findings", """
+    SELECT project, CAST(idx AS INTEGER) AS idx, e->>'$.id' AS id, e->>'$.file_path' AS file_path, e->>'$.vulnerability_class' AS vulnerability_class,
+      e->>'$.severity' AS severity, e->>'$.code_snippet' AS code_snippet, e->>'$.description' AS description, e->>'$.fix_principle' AS fix_principle,
+      e->>'$.false_positive_risk' AS false_positive_risk, CAST(e->>'$.line_start' AS BIGINT) AS line_start,
+      CAST(e->>'$.line_end' AS BIGINT) AS line_end, coalesce(CAST(e->>'$.confidence' AS DOUBLE), 0.5) AS confidence,
+      nullif(json_merge_patch('{}', json_object('note', e->'$.note', 'tag', e->'$.tag')), '{}') AS extra
+    FROM jelements_b WHERE project NOT IN (SELECT project FROM jbad_b WHERE level = 'ERROR')""")
+_UNKNOWN_PATHS = ("owner", "archive", "origin", "files.owner", "findings.note", "findings.tag", "analysis_metadata.host")
+add("val_json_unknown_keys", " UNION ALL ".join(
+    f"SELECT project, idx, path, CAST(value AS VARCHAR) AS value FROM jkeys_{c} WHERE path IN {_in(_UNKNOWN_PATHS)}" for c in "ab"))
+_JSON_TYPES = {"VARCHAR": "string", "BIGINT": "integer", "UBIGINT": "integer", "DOUBLE": "number", "NULL": "null",
+               "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+add("prj_10_json_field_types", "SELECT u.*, w.type AS wanted FROM (" + " UNION ALL ".join(
+    f"SELECT '{c.upper()}' AS contract, path, {_map(_JSON_TYPES)}[json_type(value)] AS type, count(*) AS n FROM jkeys_{c} GROUP BY ALL" for c in "ab")
+    + ") u LEFT JOIN (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}')" for r in contracts.FIELDS) + ") w(contract, path, type) USING (contract, path)")
+
 # --- signatures ------------------------------------------------------------------------------------------------
 
 _RANK = {k: i for i, k in enumerate(NODE_PATTERNS, 1)}

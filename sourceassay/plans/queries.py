@@ -14,9 +14,9 @@ from sourceassay import fixed_values as fv
 from sourceassay.functions import findings as fn
 from sourceassay.functions import paths, text
 from sourceassay.functions.sizing import number_rows
-from sourceassay.operators import contracts, corpus, dataflow, facts, report, rules, signatures, snapshots
+from sourceassay.operators import contracts, corpus, dataflow, facts, json_contracts, report, rules, signatures, snapshots
 from sourceassay.operators import solidity_index, structure
-from sourceassay.plans import demo_corpus, demo_findings, demo_flows
+from sourceassay.plans import demo_corpus, demo_findings, demo_flows, demo_payloads
 from sourceassay.session import ensure_checkpoint_dir, tune
 from sourceassay.sources import documents, scan
 
@@ -97,6 +97,10 @@ class Tables:
     def functions(self) -> DataFrame:
         return structure.functions(self.solidity)
 
+    def payloads(self, contract: str) -> DataFrame:
+        """JSON documents of a contract."""
+        return demo_payloads.payloads(self.spark, self.sf_dir, contract)
+
     @property
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         rows = self.general.select("project", "path", F.sha2("raw", 256).alias("hash"))
@@ -783,6 +787,44 @@ def _(t):
     return t.valid.select("project", "idx", "id", "confidence")
 
 
+@query("val_json_a_problems")
+def _(t):
+    return json_contracts.check_payloads(t.payloads("A"), "A")
+
+
+@query("val_json_b_problems")
+def _(t):
+    return json_contracts.check_payloads(t.payloads("B"), "B")
+
+
+@query("val_json_verdicts")
+def _(t):
+    """Verdicts of the documents of both contracts."""
+    def of(contract: str) -> DataFrame:
+        rows = t.payloads(contract)
+        return contracts.verdicts(rows, json_contracts.check_payloads(rows, contract)).withColumn("contract", F.lit(contract))
+    return of("A").unionByName(of("B"))
+
+
+@query("val_json_valid_findings")
+def _(t):
+    rows = t.payloads("B")
+    return json_contracts.valid_findings(rows, json_contracts.check_payloads(rows, "B")).drop("related_finding_ids")
+
+
+@query("val_json_unknown_keys")
+def _(t):
+    return json_contracts.unknown_keys(t.payloads("A"), "A").unionByName(json_contracts.unknown_keys(t.payloads("B"), "B"))
+
+
+@query("prj_10_json_field_types")
+def _(t):
+    """JSON types in use per path against the type that the contract asks for."""
+    used = [json_contracts.field_types(t.payloads(c), c).withColumn("contract", F.lit(c)) for c in ("A", "B")]
+    wanted = contracts.contract_fields(t.spark).select("contract", F.col("field").alias("path"), F.col("type").alias("wanted"))
+    return used[0].unionByName(used[1]).join(F.broadcast(wanted), ["contract", "path"], "left")
+
+
 # --- signatures -----------------------------------------------------------------------------------------
 
 _SIGNATURES = ("DOUBLE_SPEND", "BROKEN_AUTH", "BROKEN_ACCESS_CONTROL", "PRIVILEGE_ESCALATION",
