@@ -399,6 +399,15 @@ add("joi_5_diff_snapshots", """
         ELSE 'unchanged' END AS status
     FROM (SELECT project, path, sha256(raw) AS h, right(sha256(raw), 1) AS d FROM ok)""")
 
+add("joi_5_changed_files", f"SELECT * FROM ({SQL['joi_5_diff_snapshots']}) WHERE status <> 'unchanged'")
+add("joi_5_changed_directories", f"""
+    SELECT project, dir, count(old_hash) AS files_before, count(new_hash) AS files_after,
+      CASE WHEN count(old_hash) = 0 THEN 'added' WHEN count(new_hash) = 0 THEN 'removed' ELSE 'modified' END AS status,
+      bool_or(i = len(names) - 1 AND status <> 'unchanged') AS own_changed
+    FROM (SELECT *, array_to_string(names[1:i], '/') AS dir FROM (SELECT *, unnest(range(0, len(names))) AS i
+      FROM (SELECT *, string_split(path, '/') AS names FROM ({SQL['joi_5_diff_snapshots']}))))
+    GROUP BY project, dir HAVING bool_or(status <> 'unchanged')""")
+
 # violations of the findings contract, one row each
 _BAD_ID = "coalesce(NOT regexp_matches(id, '^FSA-[A-Z0-9]{3,10}-[0-9]{3,}$'), true)"
 _CHECKS = (

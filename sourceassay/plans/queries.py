@@ -478,6 +478,20 @@ def _(t):
     return snapshots.diff_snapshots(*t.snapshots)
 
 
+def _changed_directories(t: Tables) -> DataFrame:
+    return snapshots.changed_directories(*map(snapshots.directory_digests, t.snapshots))
+
+
+@query("joi_5_changed_directories")
+def _(t):
+    return _changed_directories(t)
+
+
+@query("joi_5_changed_files")
+def _(t):
+    return snapshots.changed_files(*t.snapshots, _changed_directories(t))
+
+
 def _applicable(t: Tables) -> DataFrame:
     """Patches of the findings of all manifests, valid or not."""
     rows = contracts.with_validity(report.build_report(t.findings, t.patches), contracts.check_contract_b(t.manifests, t.findings))
