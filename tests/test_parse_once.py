@@ -28,3 +28,29 @@ def test_signatures_are_put_together_once(code):
     plan = grouped._jdf.queryExecution().optimizedPlan().toString()
     assert "size(flatten" not in plan and {r.vulnerability_class for r in grouped.collect()} == {
         "BROKEN_AUTH", "BROKEN_ACCESS_CONTROL", "LOGIC_FLAW"}
+
+
+def _scripts(*scenario_lists):
+    bodies = [lines for scenarios in scenario_lists for _, lines in scenarios]
+    return {f"f{i}.js": "async function f(req, acct) {\n" + "\n".join(lines) + "\n}\n" for i, lines in enumerate(bodies)}
+
+
+def test_words_of_a_signature_lose_no_match(code):
+    files = code(_scripts(demo_corpus.JS_SCENARIOS))
+    whole = {}
+    for row in signatures.match_signatures(signatures.fn_nodes(files)).collect():
+        whole.setdefault(row.vulnerability_class, []).append(row)
+    assert set(whole) == set(signatures.NEEDED)
+    worth = None
+    for name in signatures.NEEDED:
+        found = signatures.match_signatures(signatures.fn_nodes(signatures.worth_matching(files, name))).withColumn("asked", F.lit(name))
+        worth = found if worth is None else worth.unionByName(found)
+    part = {}
+    for row in worth.where("asked = vulnerability_class").drop("asked").collect():
+        part.setdefault(row.vulnerability_class, []).append(row)
+    assert {k: sorted(v) for k, v in part.items()} == {k: sorted(v) for k, v in whole.items()}
+
+
+def test_files_without_a_needed_word_are_not_read(code):
+    files = code({"a.js": "function f(a) { a.balance -= 1; }", "b.js": "async function f(a) { if (a.balance < 1) { return; } await b(); a.balance -= 1; }"})
+    assert [r.path for r in signatures.worth_matching(files, "DOUBLE_SPEND").collect()] == ["b.js"]
