@@ -54,3 +54,18 @@ def test_words_of_a_signature_lose_no_match(code):
 def test_files_without_a_needed_word_are_not_read(code):
     files = code({"a.js": "function f(a) { a.balance -= 1; }", "b.js": "async function f(a) { if (a.balance < 1) { return; } await b(); a.balance -= 1; }"})
     assert [r.path for r in signatures.worth_matching(files, "DOUBLE_SPEND").collect()] == ["b.js"]
+    race = tuple(r for r in rules.CATALOGUE if r.rule_id == "web2-double-spend-race")
+    assert {r.path for r in rules.tagged_statements(files, race).collect()} == {"b.js"}
+
+
+def test_words_of_a_rule_stand_in_every_match(code):
+    texts = _scripts(demo_corpus.JS_SCENARIOS)
+    for kind, scenarios, head, tail in ((".sol", demo_corpus.SOL_SCENARIOS, "contract C {\n%s\n", "\n}\n}\n"),
+                                        (".py", demo_corpus.PY_SCENARIOS, "async def f(self, req):\n", "\n"),
+                                        (".mq5", demo_corpus.MQ_SCENARIOS, "void f() {\n", "\n}\n")):
+        indent = "    " if kind == ".py" else ""
+        for i, (header, lines) in enumerate(scenarios):
+            top = head % (header or "function f(address to, uint amount) external {") if "%" in head else head
+            texts[f"f{i}{kind}"] = top + "\n".join(indent + x for x in lines) + tail
+    wordless = tuple(replace(r, words=()) for r in rules.CATALOGUE)
+    assert sorted(rules.match_rules(code(texts)).collect()) == sorted(rules.match_rules(code(texts), wordless).collect())
