@@ -69,3 +69,16 @@ def test_words_of_a_rule_stand_in_every_match(code):
             texts[f"f{i}{kind}"] = top + "\n".join(indent + x for x in lines) + tail
     wordless = tuple(replace(r, words=()) for r in rules.CATALOGUE)
     assert sorted(rules.match_rules(code(texts)).collect()) == sorted(rules.match_rules(code(texts), wordless).collect())
+
+
+def test_numbers_follow_from_rows_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    rows = spark.range(1000, numPartitions=4).selectExpr("id % 3 AS g", "id").mapInPandas(look, "g long, id long")
+    found = number_rows(rows, "g", ["id"], "seq").collect()
+    assert all(r.seq == r.id // 3 + 1 for r in found) and len(found) == 1000
+    assert seen.value == 1000
