@@ -92,3 +92,18 @@ def test_empty_and_repeated(spark, code):
     null = spark.createDataFrame([("p", "n.js", "js", None)], once.schema)
     many = once.unionByName(once).unionByName(null).selectExpr("*", "1 AS seq", "'q' AS node")
     assert rows(dataflow.missing_validation(dataflow.flow(many)), "path", "line_end") == [("a.js", 2)]
+
+
+def test_long_chains_take_no_more_jobs(spark):
+    """A fixpoint in rounds of joins starts jobs for every few steps of the longest chain."""
+    length = 60
+    edges = spark.createDataFrame([("p", "a.js", i, i, f"d{i}", f"d{i + 1}") for i in range(length)],
+                                  "project string, path string, fn_seq int, seq int, node string, to string")
+    seeds = spark.createDataFrame([("p", "a.js", "d0", 3, "d0", -1), (None, "a.js", "d0", 3, "d0", -1)],
+                                  "project string, path string, source string, home int, node string, pos int")
+    spark.sparkContext.setJobGroup("long-chain", "")
+    found = rows(dataflow.reach(seeds, edges).where("project is not null"), "node", "pos")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("long-chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == sorted((f"d{i}", 3 if i > 3 else -1) for i in range(length + 1))
+    assert len(jobs) < 10
