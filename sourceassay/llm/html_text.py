@@ -1,32 +1,43 @@
-"""Operator 9, HTML extraction: marked structure first, a host suffix array for the rest.
-
-A page is cut into blocks.  Elements that mark themselves as menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments go; what stands inside ``article`` or ``main`` is the main text and stays whole, also where
-pages share passages.  Pages without such an element are decided by repetition: the token streams of a host's pages are
-concatenated, a suffix array finds the runs of tokens that many distinct pages share, and blocks that such runs cover whole
-are removed; nothing is cut out of a block.
-
-A hot host is cut into parts of bounded size by page; each part has a suffix array of its own, and the counts of
-distinct pages are added up over the parts, so the result does not depend on the cut.
+"""Operator 9, HTML extraction: a host suffix array finds what pages repeat, marked structure checks it.
+
+A page is cut into blocks, those of menus, adverts and footers too.  The token streams of all pages of a host are concatenated, a
+suffix array finds the runs of tokens that distinct pages share, and blocks that such runs cover whole are boilerplate; nothing is
+cut out of a block.  The markup checks this afterwards.  What stands inside ``article`` or ``main`` is the main text and stays whole, also
+where pages share passages.  What doesn't, or stands in elements that mark themselves as menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments, goes, also where no other page repeats it.  Unmarked blocks of pages without a main element can't be checked: there
+repetition decides, on a larger share of the host's pages.
+
+A hot host is cut into parts of bounded size by page; each part has a suffix array of its own.  A run on a share of the host's pages
+is on that share of a part's pages in one part at least; these runs are then counted over all distinct pages, so the result does not
+depend on the cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sourceassay.llm.store import free_name, settle
+from sourceassay.llm.store import free_name, settle, slices
 from sourceassay.llm.words import WordHashes, mix
 
 #: Tokens of a repeated run at least (a block's edge counts as one), the distinct pages it must be on, and their share of a host's.
 RUN, PAGES, SHARE = 5, 2, 0.25
-#: Bytes of page text in one part of a host (plus one page).
-PART_BYTES = 8 << 20
+#: The share of a host's pages where the markup checks the outcome.
+CHECKED_SHARE = 0.01
+#: Bytes of html in one part of a host, about.
+PART_BYTES = 4 << 20
+#: Bytes of html that one step of a task takes at a time.
+PIECE_BYTES = 4 << 20
+#: So many repeated runs go to every task; more are joined by a shuffle of the pages.
+LISTED_RUNS = 1 << 20
 
 # A quote opens a value only behind an equals sign, and only if it is closed; a tag ends at the first ``>`` outside a value, or with the page.
 # Nothing is tried twice (possessive repeats), so reading is linear however broken the markup is.
@@ -72,7 +83,13 @@ def _is_marked(attributes: str, in_main: bool) -> bool:
 
 
 def blocks(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page has a main element, and the blocks of its main text (or else of all text that is not marked).
+    """Whether the page has a main element, and the blocks of its main text (or else of all text that is not marked)."""
+    whole, found = placed(page)
+    return whole, [text for text, kept in found if kept]
+
+
+def placed(page: str | None) -> tuple[bool, list[tuple[str, bool]]]:
+    """Whether the page has a main element, and all its blocks in page order, menus and adverts included; with each, whether the markup keeps it.
 
     If all its main elements stand in marked elements or forms, these are wrappers, and their marks don't count.
     """
@@ -82,26 +99,27 @@ def blocks(page: str | None) -> tuple[bool, list[str]]:
     return _read(page, True)[::2] if hidden_main and not seen_main else (seen_main, found)
 
 
-def _read(page: str, lift: bool) -> tuple[bool, bool, list[str]]:
+def _read(page: str, lift: bool) -> tuple[bool, bool, list[tuple[str, bool]]]:
     """Whether a main element is seen, whether one is only hidden by marks or forms, and the blocks; ``lift`` shows the hidden ones."""
-    inside, outside = [], []
+    found: list[tuple[str, int]] = []  # blocks, and where they stand: 0 outside of main elements, 1 inside, 2 in a dropped element
     block: list[str] = []
+    away: list[str] = []  # text of dropped elements since the last block
     stack: list[tuple[str, int]] = []  # open elements that matter, and whether they are dropped: 1 by their kind, 2 as what may be a wrapper
     dropped = mains = 0
     seen_main = hidden_main = False
     at, end = 0, len(page)
 
     def flush():
-        if block:
-            text = " ".join("".join(block).split())
-            if text:
-                (inside if mains else outside).append(text)
-            block.clear()
+        for parts, place in (block, mains > 0), (away, 2):
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    found.append((text, place))
+                parts.clear()
 
     while at < end:
         tag = _TAG.search(page, at)
-        if not dropped:
-            block.append(html.unescape(page[at : tag.start() if tag else end]))
+        (away if dropped else block).append(html.unescape(page[at : tag.start() if tag else end]))
         if not tag:
             break
         at = tag.end()
@@ -113,8 +131,8 @@ def _read(page: str, lift: bool) -> tuple[bool, bool, list[str]]:
             flush()
             if not closing and stack and stack[-1][0] == "p":
                 dropped -= stack.pop()[1] > 0
-        elif name in _CELLS and not dropped:
-            block.append(" ")
+        elif name in _CELLS:
+            (away if dropped else block).append(" ")
         if closing:
             if any(n == name for n, _ in stack):
                 while stack:
@@ -147,30 +165,30 @@ def _read(page: str, lift: bool) -> tuple[bool, bool, list[str]]:
                 mains += 1
                 seen_main |= not dropped
     flush()
-    return seen_main, hidden_main, inside if seen_main else outside
+    return seen_main, hidden_main, [(text, place == seen_main) for text, place in found]
+
 
+#: The token before, between and after the blocks of a page; no word holds it.
+_EDGE = np.uint64(WordHashes()[b"\n"])
 
-def _parse(page: int):
-    def run(batches):
-        for batch in batches:
-            found = [blocks(p) for p in batch.column(page).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f for f, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string()))],
-                names=[*batch.schema.names, "whole", "blocks"])
-    return run
 
+def _stream(pages: list[list[str]], hashes: WordHashes) -> np.ndarray:
+    """Token hashes of the pages' blocks, page after page: words, and an edge before, between and after the blocks of a page."""
+    text = " ".join("\n " + " \n ".join(parts) + " \n" for parts in pages)
+    return hashes.of(text.encode("utf-8", "surrogatepass").split(b" "))
 
-def _stream(parts: list[str], hashes: WordHashes) -> np.ndarray:
-    """Token hashes of a page: its words, and an edge (1) before, between and after the blocks."""
-    edge = np.ones(1, np.uint64)
-    out = [edge]
-    for part in parts:
-        out += [hashes.of(part.encode("utf-8", "surrogatepass").split()), edge]
-    return np.concatenate(out)
+
+def _codes(tokens: np.ndarray, run: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the ``run`` tokens from each place, or from those in ``at``."""
+    many = max(0, len(tokens) - run + 1)
+    code = np.zeros(many if at is None else len(at), np.uint64)
+    for k in range(run):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + (tokens[k : k + many] if at is None else tokens[at + k])
+    return mix(code).view(np.int64)
 
 
-def repeated_runs(streams: list[np.ndarray], run: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(hash, pages, starts) of each distinct run of ``run`` tokens, by a suffix array over all streams.
+def repeated_runs(streams: list[np.ndarray], run: int, least: float = 1) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(hash, pages, starts) of each distinct run of ``run`` tokens on ``least`` distinct pages, by a suffix array over all streams.
 
     The suffixes are sorted by their first ``run`` tokens, which is all that tells equal runs apart.
     """
@@ -193,88 +211,229 @@ def repeated_runs(streams: list[np.ndarray], run: int) -> list[tuple[int, np.nda
     suffixes = suffixes[left[suffixes] >= run]
     if not len(suffixes):
         return []
-    code = np.zeros(len(suffixes), np.uint64)
-    for k in range(run):
-        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + tokens[suffixes + k])
-    cuts = np.flatnonzero(np.diff(rank[suffixes])) + 1
-    first = np.r_[0, cuts]
-    return [(int(c), page[s], start[s]) for c, s in zip(code[first].view(np.int64), np.split(suffixes, cuts))]
-
-
-def _host_part(run: int):
+    page, start = page[suffixes], start[suffixes]
+    first = np.r_[0, np.flatnonzero(np.diff(rank[suffixes])) + 1]
+    end = np.r_[first[1:], len(suffixes)]
+    # Equal suffixes stand in the order of their pages.
+    turn = np.r_[True, page[1:] != page[:-1]]
+    turn[first] = True
+    often = np.add.reduceat(turn, first, dtype=np.int64) >= least
+    code = _codes(tokens, run, suffixes[first[often]])
+    return [(c, page[a:b], start[a:b]) for c, a, b in zip(code.tolist(), first[often].tolist(), end[often].tolist())]
+
+
+def _digest(parts: list[str]) -> bytes:
+    return hashlib.md5("\n".join(parts).encode("utf-8", "surrogatepass")).digest()
+
+
+def _comparable(found: list[tuple[str, bool]]) -> tuple[bytes, bytes, list[str]] | None:
+    """Digests of the kept and of all blocks, and all blocks, of a page that counts: one with text."""
+    kept = [text for text, stays in found if stays]
+    parts = [text for text, _ in found]
+    return (_digest(kept), _digest(parts), parts) if kept else None
+
+
+def _streams(batches):
+    """Pages with text and their part of the host; copies that one task meets are given once."""
+    seen = set()
+    for batch in batches:
+        out = []
+        for host, parts, page in zip(*(batch.column(k).to_pylist() for k in ("host", "parts", "html"))):
+            got = _comparable(placed(page)[1])
+            if got and (key := (host, *got[:2])) not in seen:
+                seen.add(key)
+                out.append((host, parts, int.from_bytes(got[0][:7], "big") % parts, *got))
+        if len(seen) > 100_000:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())))],
+            names=["host", "parts", "part", "kept", "page", "blocks"])
+
+
+def _host_part(run: int, least_pages: int, share: float):
+    """The runs of a part that may be on ``share`` of the host's pages, and the distinct pages that they are on."""
     def of(table: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        rows, host = table.column("row").to_pylist(), table.column("host")[0].as_py()
-        found = repeated_runs([_stream(b, hashes) for b in table.column("blocks").to_pylist()], run)
+        pages, parts = table.num_rows, table.column("parts")[0].as_py()
+        least = share * pages * (1 - 1e-9) if parts > 1 else max(least_pages, share * pages)
+        found = repeated_runs([_stream([b], hashes) for b in table.column("blocks").to_pylist()], run, least)
         return pa.table({
-            "host": pa.array([host] * len(found), pa.string()), "run": pa.array([c for c, _, _ in found], pa.int64()),
-            "pages": pa.array([len(set(p.tolist())) for _, p, _ in found], pa.int64()),
-            "places": pa.array([[{"row": rows[a], "at": b} for a, b in zip(p.tolist(), s.tolist())] for _, p, s in found],
-                               pa.list_(pa.struct([("row", pa.int64()), ("at", pa.int64())])))})
+            "host": table.column("host").slice(0, 1), "parts": pa.array([parts], pa.int64()), "all_pages": pa.array([pages], pa.int64()),
+            "runs": pa.array([[c for c, _, _ in found]], pa.list_(pa.int64())),
+            "pages": pa.array([[1 + np.count_nonzero(np.diff(p)) for _, p, _ in found]], pa.list_(pa.int64()))})
     return of
 
 
-def unique_text(parts: list[str], starts: list[int] | None, run: int) -> str:
-    """The blocks without those that the repeated runs cover whole, with both edges."""
-    covered = {s + k for s in starts or () for k in range(run)}
-    out, at = [], 1
-    for part in parts:
-        end = at + part.count(" ") + 1
-        if not all(k in covered for k in range(at - 1, end + 1)):
-            out.append(part)
-        at = end + 1
-    return "\n".join(out)
-
-
-def _finish(run: int, blocks_at: int, starts_at: int):
-    def of(batches):
-        for batch in batches:
-            texts = [unique_text(b, s, run) for b, s in zip(batch.column(blocks_at).to_pylist(), batch.column(starts_at).to_pylist())]
-            keep = [k for k in range(batch.num_columns) if k not in (blocks_at, starts_at)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(texts, pa.string())],
-                                             names=[*[batch.schema.names[k] for k in keep], "text"])
+#: Of a host: its repeated runs, sorted, and which of them are on the larger share of its pages.
+Runs = tuple[np.ndarray, np.ndarray]
+
+
+def _found(tokens: np.ndarray, runs: Runs, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the run from each token: whether it is listed, and its place in the list.  No listed run reaches over two pages."""
+    codes = _codes(tokens, run)
+    at = np.searchsorted(runs[0], codes)
+    at[at == len(runs[0])] = 0
+    return runs[0][at] == codes, at
+
+
+def _covered(tokens: np.ndarray, starts: np.ndarray, run: int) -> np.ndarray:
+    """Whether runs from ``starts`` cover a block whole, with both edges; blocks of all pages in order."""
+    change = np.zeros(len(tokens) + 1, np.int64)
+    change[: len(starts)] += starts
+    change[run : run + len(starts)] -= starts
+    bare = np.r_[0, np.cumsum(np.cumsum(change[:-1]) == 0)]
+    edges = np.flatnonzero(tokens == _EDGE)
+    begin, end = edges[:-1], edges[1:]
+    return (bare[end + 1] == bare[begin])[end > begin + 1]
+
+
+def _by_host(hosts: list[str], pages: list, lists: dict[str, Runs]) -> dict[str, list[int]]:
+    """The rows of each listed host whose pages are not empty."""
+    rows: dict[str, list[int]] = {}
+    for k, host in enumerate(hosts):
+        if pages[k] and host in lists:
+            rows.setdefault(host, []).append(k)
+    return rows
+
+
+_MAIN_TEXT = pa.struct([("text", pa.string()), ("n_blocks", pa.int64()), ("n_repeated", pa.int64()), ("n_restored", pa.int64())])
+
+
+def _decide(run: int):
+    """doc and main: the host's runs decide blocks, then the markup checks them."""
+    def of(batch, lists: dict[str, Runs], hashes: WordHashes):
+        read = [placed(page) for page in batch.column("html").to_pylist()]
+        parts = [[text for text, _ in found] for _, found in read]
+        marks = [([False] * len(p),) * 2 for p in parts]
+        for host, rows in _by_host(batch.column("host").to_pylist(), parts, lists).items():
+            tokens = _stream([parts[k] for k in rows], hashes)
+            listed, at = _found(tokens, lists[host], run)
+            if listed.any():
+                repeated, shared = _covered(tokens, listed, run).tolist(), _covered(tokens, listed & lists[host][1][at], run).tolist()
+                done = 0
+                for k in rows:
+                    ends = done + len(parts[k])
+                    marks[k] = repeated[done:ends], shared[done:ends]
+                    done = ends
+        mains = []
+        for (whole, found), (repeated, shared) in zip(read, marks):
+            # The check: the blocks of the main element are restored, marked blocks go, repeated or not.
+            stay = [kept and (whole or not often) for (_, kept), often in zip(found, shared)]
+            mains.append({"text": "\n".join([text for (text, _), stays in zip(found, stay) if stays]), "n_blocks": len(found),
+                          "n_repeated": sum(repeated), "n_restored": sum(stays and twice for stays, twice in zip(stay, repeated))})
+        return [batch.column("doc"), pa.array(mains, _MAIN_TEXT)], ["doc", "main"]
     return of
 
 
-def extract(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, part_bytes: int = PART_BYTES,
-            share: float = SHARE) -> tuple[DataFrame, str]:
-    """``pages`` with all columns but ``html`` and the main text; and that column's name (``text`` or the next free one).
+def _occurrences(run: int):
+    """host, digests of the kept and of all blocks, and the listed runs of each page that counts."""
+    def of(batch, lists: dict[str, Runs], hashes: WordHashes):
+        hosts = batch.column("host").to_pylist()
+        read = [_comparable(placed(page)[1]) if host in lists else None for host, page in zip(hosts, batch.column("html").to_pylist())]
+        out = []
+        for host, rows in _by_host(hosts, read, lists).items():
+            tokens = _stream([read[k][2] for k in rows], hashes)
+            listed, at = _found(tokens, lists[host], run)
+            # A page begins with the stream, or at the second of two edges.
+            edge = tokens == _EDGE
+            page = np.cumsum(edge[1:] & edge[:-1])
+            page = np.r_[0, page][: len(at)][listed]
+            pairs = np.unique(page * len(lists[host][0]) + at[listed])
+            page, at = np.divmod(pairs, len(lists[host][0]))
+            ends = np.searchsorted(page, np.arange(len(rows) + 1))
+            out += [(host, *read[k][:2], lists[host][0][at[a:b]]) for k, a, b in zip(rows, ends, ends[1:])]
+        types = pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64())
+        return [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["host", "kept", "page", "runs"]
+    return of
+
+
+def _listed(runs: DataFrame) -> DataFrame:
+    """The sorted runs of each host in one row, and which of them are shared."""
+    return (runs.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("run", "shared"))).alias("r"))
+            .select("host", F.col("r.run").alias("listed"), F.col("r.shared").alias("shared")))
+
+
+def _with_runs(base: DataFrame, lists: DataFrame, parts: DataFrame, work: Callable, schema: str, most: int) -> DataFrame:
+    """``work`` over batches of ``base`` (doc, host, html) with the runs of their hosts (host, listed array<long>, shared array<boolean>).
 
-    Null, empty and textless pages have an empty text.  Pages without a main element are compared within their host (the url's authority
-    without user and port, lower case; pages with a null or odd url have no host and stay whole).  Pages of equal blocks count once, so
-    copies of a page don't cover each other.  An empty table gives no rows.  Memory follows one page, or one part of a host.
+    At most ``most`` runs go through the driver to every task; else pages and runs meet in a shuffle by part of a host.
     """
+    def tables(rows) -> dict[str, Runs]:
+        return {host: (np.array(listed, np.int64), np.array(shared, bool)) for host, listed, shared in rows}
+
+    if (lists.agg(F.sum(F.size("listed"))).first()[0] or 0) <= most:
+        known = base.sparkSession.sparkContext.broadcast(tables(lists.select("host", "listed", "shared").collect()))
+
+        def mapped(batches):
+            hashes = WordHashes()
+            for batch in batches:
+                for piece in slices(batch, batch.schema.get_field_index("html"), PIECE_BYTES):
+                    arrays, names = work(piece, known.value, hashes)
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return base.mapInArrow(mapped, schema)
+
+    def grouped(pages: pa.Table, listed: pa.Table) -> pa.Table:
+        rows = zip(*(listed.column(name).to_pylist() for name in ("host", "listed", "shared")))  # one, or none
+        arrays, names = work(pages, tables(rows), WordHashes())
+        return pa.table(arrays, names=names)
+
+    cut = F.coalesce("parts", F.lit(1))
+    dealt = base.join(parts, "host", "left").select(*base.columns, F.pmod(F.monotonically_increasing_id(), cut).alias("part"))
+    copies = lists.join(parts, "host", "left").select("host", "listed", "shared", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
+    return dealt.groupBy("host", "part").cogroup(copies.groupBy("host", "part")).applyInArrow(grouped, schema)
+
+
+def decide(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, part_bytes: int = PART_BYTES, share: float = SHARE,
+           checked_share: float = CHECKED_SHARE, listed_runs: int = LISTED_RUNS) -> DataFrame:
+    """Each row of ``pages`` as ``doc`` (all columns but ``html``) and ``main``: text, n_blocks, n_repeated and n_restored.
+
+    Null, empty and textless pages have an empty text.  All pages with text are compared within their host (the url's authority without
+    user and port, lower case; pages with a null or odd url have no host, and only the markup decides them).  n_repeated blocks are
+    covered by runs that stand on ``checked_share`` of the host's distinct pages (``least_pages`` at least).  n_restored of them stay: the main
+    element's blocks, and unmarked blocks of a page without one, if such runs on ``share`` of the pages don't cover them.  Pages of
+    equal kept blocks count once, with the smallest digest of all their blocks, so copies of a page don't cover each other.  An empty table gives no rows.
+    Memory follows one page, or one part of a host.
+    """
+    checked_share = min(checked_share, share)
     keep = [c for c in pages.columns if c != "html"]
-    name = free_name(pages.select(*[f"`{c}`" for c in keep]), "text")
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc") if keep else F.struct(F.lit(1).alias("none")).alias("doc")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = pages.select(doc, host.alias("host"), "html")
-    schema = base.withColumn("whole", F.lit(True)).withColumn("blocks", F.array(F.lit(""))).schema
-    parsed = base.mapInArrow(_parse(2), schema).drop("html")
-
-    whole = parsed.where("whole").select("doc", F.array_join("blocks", "\n").alias("text"))
-    rest = settle(parsed.where("not whole").select("doc", "host", "blocks", F.md5(F.array_join("blocks", "\n")).alias("page")), "pages")
-    distinct = (rest.where("host <> '' and size(blocks) > 0").groupBy("host", "page").agg(F.first("blocks").alias("blocks"))
-                .withColumn("row", F.monotonically_increasing_id()))
-    distinct = settle(distinct, "distinct-pages")
-    # Parts of a host: pages are dealt by their row, as many parts as the largest host needs.
-    size = F.octet_length(F.array_join("blocks", " "))
-    hosts = distinct.groupBy("host").agg(F.sum(size).alias("size"), F.count("*").alias("all_pages"))
-    most = hosts.agg(F.max("size")).first()[0] or 0
-    parts = -(-most // part_bytes) or 1
-    runs = (distinct.select("host", "row", "blocks", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
-            .groupBy("host", "part").applyInArrow(_host_part(run), "host string, run long, pages long, places array<struct<row:long,at:long>>"))
-    runs = settle(runs, "runs")
-    shared = (runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(hosts, "host")
-              .where((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("all_pages") * share)).select("host", "run"))
-    covered = (runs.join(shared, ["host", "run"]).select(F.explode("places").alias("p"))
-               .groupBy("p.row").agg(F.collect_list("p.at").alias("starts")))  # bounded by the tokens of a page
-    covered = distinct.select("host", "page", "row").join(covered, "row").select("host", "page", "starts")
-    undecided = rest.join(covered, ["host", "page"], "left").select("doc", "blocks", "starts")
-    unique = undecided.mapInArrow(_finish(run, 1, 2), undecided.select("doc", F.lit("").alias("text")).schema)
-    return whole.unionByName(unique).select(*[F.col("doc")[c].alias(c) for c in keep], F.col("text").alias(name)), name
+    parts = settle(base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")).where(F.col("size") > part_bytes)
+                   .select("host", F.ceil(F.col("size") / part_bytes).cast("long").alias("parts")), "hosts")
+    compared = (base.where("host <> ''").join(parts, "host", "left").select("host", F.coalesce("parts", F.lit(1)).cast("long").alias("parts"), "html")
+                .mapInArrow(_streams, "host string, parts long, part long, kept binary, page binary, blocks array<string>"))
+    # One shuffle: the distinct pages of a part lie where its suffix array is built.
+    distinct = (compared.repartition("host", "part").groupBy("host", "part", "kept").agg(F.min_by(F.struct("parts", "blocks"), "page").alias("p"))
+                .select("host", "part", "p.parts", "p.blocks"))
+    runs = settle(distinct.groupBy("host", "part").applyInArrow(
+        _host_part(run, least_pages, checked_share), "host string, parts long, all_pages long, runs array<long>, pages array<long>"), "runs")
+    hosts = runs.groupBy("host").agg(F.sum("all_pages").alias("all_pages"))
+    counted = runs.where("parts = 1").select("host", F.explode(F.arrays_zip("runs", "pages")).alias("r")).select("host", "r.runs", "r.pages")
+    if not parts.isEmpty():
+        likely = runs.where("parts > 1").select("host", F.explode("runs").alias("run")).distinct()
+        likely = settle(_listed(likely.withColumn("shared", F.lit(False))), "likely-runs")
+        on = _with_runs(base.where("host <> ''").join(parts, "host", "left_semi").select(*base.columns), likely, parts, _occurrences(run),
+                        "host string, kept binary, page binary, runs array<long>", listed_runs)
+        on = on.groupBy("host", "kept").agg(F.min_by("runs", "page").alias("runs")).select("host", F.explode("runs").alias("runs"))
+        counted = counted.unionByName(on.groupBy("host", "runs").agg(F.count("*").alias("pages")))
+    enough = (F.col("pages") >= least_pages) & (F.col("pages") >= F.col("all_pages") * checked_share)
+    lists = settle(_listed(counted.join(hosts, "host").where(enough).select(
+        "host", F.col("runs").alias("run"), (F.col("pages") >= F.col("all_pages") * share).alias("shared"))), "repeated-runs")
+    schema = StructType([base.schema["doc"], *StructType.fromDDL("main struct<text:string,n_blocks:long,n_repeated:long,n_restored:long>")])
+    return _with_runs(base, lists, parts, _decide(run), schema, listed_runs)
+
+
+def extract(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, part_bytes: int = PART_BYTES, share: float = SHARE,
+            **more) -> tuple[DataFrame, str]:
+    """``pages`` with all columns but ``html`` and the main text of ``decide``; and that column's name (``text`` or the next free one)."""
+    keep = [c for c in pages.columns if c != "html"]
+    name = free_name(pages.select(*[f"`{c}`" for c in keep]), "text")
+    found = decide(pages, run, least_pages, part_bytes, share, **more)
+    return found.select(*[F.col("doc")[c].alias(c) for c in keep], F.col("main.text").alias(name)), name
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    found, text = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "url", F.col(text).alias("text"), F.length(text).cast("long").alias("n_chars"))
+    found = decide(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("doc.page_id", "doc.url", "main.text", F.length("main.text").cast("long").alias("n_chars"),
+                        "main.n_blocks", "main.n_repeated", "main.n_restored")
