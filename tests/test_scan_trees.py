@@ -2,7 +2,10 @@
 
 import os
 
+import pytest
+
 from sourceassay.plans import queries
+from sourceassay.sources import scan
 
 
 def test_trees_stay_within_their_disk(spark, monkeypatch):
@@ -19,3 +22,29 @@ def test_trees_stay_within_their_disk(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(
         (p, path, None if link else len(raw), link) for p, path, raw, link in rows if path.startswith("src"))
     assert len(most) > 2 and max(most) < 40 and sum(most) == 60
+
+
+def test_directories_are_listed_once(spark, tmp_path):
+    """A checkpoint walks every directory twice, and a piece for every directory given is one more data frame."""
+    listed, pieces = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    roots = [(f"p{i}", str(tmp_path / f"p{i}")) for i in range(40)]
+    for name, root in roots:
+        os.makedirs(f"{root}/src")
+        open(f"{root}/src/{name}.js", "w").close()
+    build = scan._lister
+
+    def counted(skip, budget):
+        run = build(skip, budget)
+
+        def counting(batches):
+            for piece in run(batches):
+                listed.add(len(piece))
+                pieces.add(1)
+                yield piece
+        return counting
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(scan, "_lister", counted)
+        found = scan.list_corpus(spark.createDataFrame(roots, "project string, root string"))
+    assert sorted((r.project, r.path, r.kind) for r in found.collect()) == sorted((name, f"src/{name}.js", "file") for name, _ in roots)
+    assert listed.value == 40
+    assert pieces.value <= spark.sparkContext.defaultParallelism
